@@ -1,10 +1,79 @@
-"""The corpus pipeline: language ID, quality, line dedup, near-dedup, packing."""
+"""The corpus pipeline: language ID, quality, line dedup, near-dedup, packing.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir), where docs is the Parquet that its
+predecessor's result was written to, and returns a DataFrame. A stage may keep tables in the shared folder until its
+result is written; the next stage deletes them. No SQL expresses the whole, so ORACLE_SQL is None; tests hold run()
+against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filemeta.llm import common, langid, line_dedup, near_dedup, packing, quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _columns(df: DataFrame) -> DataFrame:
+    return df.select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the identifier accepts."""
+    common.drop_written(spark)
+    common.ship(spark)
+    return _columns(langid.predict(docs, langid.fit(docs)).where("not rejected"))
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as good."""
+    common.drop_written(spark)
+    common.ship(spark)
+    model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
+    return _columns(quality.score(docs, model).where("predicted = 1"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines; a document of which nothing but blanks is left goes."""
+    common.drop_written(spark)
+    cut = line_dedup.dedup_lines(docs)
+    return _columns(cut.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long")))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the smallest id."""
+    common.drop_written(spark)
+    keep = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
+    return _columns(docs.join(keep, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    import public_tokenizers
+
+    common.drop_written(spark)
+    common.ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality", classify_quality),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        result = stage(spark, docs, sf_dir)
+        if stage is STAGES[-1][1]:
+            return result
+        docs = common.written_stage(spark, result, name)
+    return docs

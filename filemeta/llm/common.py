@@ -55,6 +55,13 @@ def stored(spark: SparkSession, df: DataFrame, name: str, compression: str = "zs
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A pipeline stage's result, written and read again; drop_written() leaves it."""
+    path = f"{shared_dir(spark)}/filemeta-stage-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete the tables that stored() wrote so far in this application; call only when their results are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
