@@ -135,7 +135,7 @@ def tokenised(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", tex
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                out = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in words.encode(part.column(text).to_pylist())]
+                out = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in words.encode(part.column(text))]
                 yield pa.RecordBatch.from_arrays([part.column(doc_id).cast(pa.int64()).fill_null(NULL_ID), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return df.select(doc_id, text).mapInArrow(run, schema)

@@ -138,7 +138,7 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                for name, ids in zip(part.column(doc_id).to_pylist(), tokens.encode(part.column(text).to_pylist())):
+                for name, ids in zip(part.column(doc_id).to_pylist(), tokens.encode(part.column(text))):
                     held[number] = name, ids + end, len(ids) // 4 + 1
                     packer.add(number, len(ids) // 4 + 1)
                     number += 1

@@ -1,8 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, through a cache of white-space-separated chunks.
+"""Token ids of whole texts by the tokenizers library, each distinct word once.
 
 A tokenizer file whose normalizer and pre-tokenizer never look across white space gives a text the ids of its
-chunks in a row. Each distinct chunk of a batch goes through the library once; the cache lives as long as the
-Python worker and is emptied when it holds too many chunks.
+chunks (runs between ASCII white space) in a row. Arrow kernels find the distinct chunks of a block of texts, cut
+ASCII punctuation from behind a letter (the file's pattern splits there) and lower ASCII letters (its normalizer
+does); the library gets each distinct part once, and numpy puts the ids of all texts together. A worker keeps parts
+it has seen up to a bound.
 """
 
 from __future__ import annotations
@@ -10,18 +12,24 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks kept by a worker.
-CACHE = 800_000
-#: Characters that str.split() takes as white space and the tokenizer files do not.
-_ODD = "\x1c\x1d\x1e\x1f"
+#: Parts a worker keeps.
+CACHE = 600_000
+#: Bytes of text that are looked up together.
+BLOCK = 8 << 20
 #: Words that go through the library in one text.
 TOGETHER = 2000
-#: ASCII punctuation that may be cut off behind a letter.
+#: ASCII punctuation that may be cut off behind a letter: no apostrophe, which begins contractions.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOADED: dict[str, "WordTokens"] = {}
 
 
+def _list(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordTokens:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,7 +50,7 @@ class WordTokens:
         return self.library.get_vocab_size(with_added_tokens=True)
 
     def _learn(self, new: list[str]) -> None:
-        """Cache what the library gives for chunks. Words of letters go through it many at a time, told apart by
+        """Cache what the library gives for parts. Words of letters go through it many at a time, told apart by
         their pre-token numbers; should a word have come to several pre-tokens, each goes alone."""
         plain = [c for c in new if c.isalpha()]
         rest = [c for c in new if not c.isalpha()]
@@ -61,32 +69,49 @@ class WordTokens:
             for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
                 self.cache[c] = np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers (null: none)."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        cut = [[t] if any(c in t for c in _ODD) else t.split() for t in (t or "" for t in texts)]
-        new = set().union(*cut).difference(cache)
-        split = [(c, split_chunk(c)) for c in new]
-        self._learn(list({x for _, parts in split for x in parts}.difference(cache)))
-        get = cache.__getitem__
-        for c, parts in split:
-            if len(parts) == 2:
-                cache[c] = get(parts[0]) + get(parts[1])
-            elif parts[0] is not c:
-                cache[c] = get(parts[0])
-        return [b"".join(map(get, chunks)) for chunks in cut]
-
-
-def split_chunk(chunk: str) -> list[str]:
-    """Parts of a chunk that are encoded apart: a word that ends in an ASCII letter, in lower case if all ASCII, and
-    the run of ASCII punctuation behind it (without apostrophes, which begin contractions)."""
-    word = chunk.rstrip(TAIL)
-    if not word:
-        return [chunk]
-    last = word[-1]
-    if not ("a" <= last <= "z" or "A" <= last <= "Z"):
-        return [chunk]
-    parts = [word.lower() if word.isascii() else word]
-    return [*parts, chunk[len(word) :]] if len(word) < len(chunk) else parts
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        out: list[bytes] = []
+        while len(out) < len(column):
+            at = len(out)
+            n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")) - at)
+            out += self._block(column.slice(at, n))
+        return out
+
+    def _block(self, column: pa.Array) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(column)
+        offsets = np.asarray(lists.offsets, np.int64)
+        chunks = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        distinct = chunks.dictionary
+        bare = pc.ascii_rtrim(distinct, characters=TAIL)
+        bare = pc.if_else(pc.match_substring_regex(bare, "[A-Za-z]$"), bare, distinct)
+        whole, cut = _list(distinct), _list(pc.utf8_length(bare))
+        rest = pa.array([c[n:] for c, n in zip(whole, cut)], distinct.type)
+        words, tails = pc.ascii_lower(bare).dictionary_encode(), rest.dictionary_encode()
+        number = np.stack([words.indices.to_numpy(), tails.indices.to_numpy() + len(words.dictionary)], axis=1)
+        parts = _list(words.dictionary) + _list(tails.dictionary)
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        self._learn(list(set(parts).difference(self.cache, ("",))))
+        known = [self.cache[p] if p else b"" for p in parts]
+        ids = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        # First the ids of each distinct chunk, then of each text.
+        ids, ends = _gather(ids, size, number.reshape(-1))
+        size = np.diff(ends[::2])
+        ids, ends = _gather(ids, size, chunks.indices.to_numpy())
+        data, cuts = ids.tobytes(), (ends[offsets - offsets[0]].astype(np.int64) * 4).tolist()
+        return [data[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def _gather(ids: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, size long each, put in an order; the runs' bounds in the result."""
+    start = np.cumsum(size, dtype=np.int32) - size
+    lengths = size[order]
+    ends = np.zeros(len(order) + 1, np.int32)
+    np.cumsum(lengths, out=ends[1:])
+    take = np.repeat(start[order] - ends[:-1], lengths)
+    take += np.arange(len(take), dtype=np.int32)
+    return ids[take], ends
