@@ -54,7 +54,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lines
     # The split texts cross the join, so that no later expression splits a text for each of its lines.
     others = [c for c in df.columns if c not in (text, "n_lines", "n_removed")]
     base = df.select(*others, _lines(F.col(text)).alias("__lines"), mark.alias("__own"))
-    both = base.join(covered, base[doc_id].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
+    # The same join at every size: a small table of covered lines would be broadcast, a large one is not.
+    both = base.join(covered.hint("merge"), base[doc_id].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")), "left")
     last = F.greatest(F.size("__lines") - 1, F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), last), F.col("__covered"))
     cut = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
