@@ -24,8 +24,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +39,8 @@ ERRORS = 5
 ROUNDS = 3
 BLOCK = 1000
 NULL_ID = -(1 << 63)
-#: Word hashes a worker keeps.
-CACHE = 1_000_000
+#: Bytes of text whose words are hashed together.
+TEXT_BLOCK = 8 << 20
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -56,28 +56,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Distinct hashed shingles of each text, ascending. Words are runs of bytes other than blank and \\x09-\\x0D; A-Z
+    count as a-z. Distinct words of a block of texts are hashed once, shingles are mixed for all texts together."""
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BLOCK, side="right")) - at)
+        yield from _shingle_block(column.slice(at, n), size)
+        at += n
+
+
+def _shingle_block(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    bounds = np.asarray(lists.offsets, np.int64)
+    words = lists.values.slice(bounds[0], bounds[-1] - bounds[0])
+    bounds = bounds - bounds[0]
+    there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(there)])[bounds]
+    known = words.filter(pa.array(there)).dictionary_encode()
+    distinct = known.dictionary.to_numpy(zero_copy_only=False).tolist()
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    h = hashed[known.indices.to_numpy()] if len(distinct) else np.zeros(0, np.uint64)
+    whole = _rolled(h, size)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if hi - lo >= size:
+            yield np.unique(whole[lo : hi - size + 1])
+        else:
+            yield _rolled(h[lo:hi], hi - lo) if hi > lo else np.zeros(0, np.uint64)
 
 
-_CACHED = _Words()
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size words."""
+    n = max(0, len(h) - size + 1)
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total = _mix(total * _C[2] + h[k : k + n])
+    return total
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Distinct hashed shingles of a text, ascending. Words are runs of bytes other than blank and \\x09-\\x0D; A-Z count as a-z."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_CACHED) > CACHE:
-        _CACHED.clear()
-    h = np.fromiter(map(_CACHED.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - size + 1)
-    total = np.full(n, min(size, len(h)), np.uint64)
-    for k in range(min(size, len(h))):
-        total = _mix(total * _C[2] + h[k : k + n])
-    return np.unique(total)
+    return next(shingle_sets(pa.array([text], pa.string()), size))
 
 
 _RNG = np.random.default_rng(20240601)
@@ -95,11 +115,12 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def band_keys(low: np.ndarray, rows: int) -> np.ndarray:
-    n = len(low) // rows
-    part = low[: n * rows].reshape(n, rows).astype(np.uint64)
-    key = np.arange(n, dtype=np.uint64) + np.uint64(1)
+    """A key for each band of each row of signatures."""
+    n = low.shape[1] // rows
+    part = low[:, : n * rows].reshape(len(low), n, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(n, dtype=np.uint64) + np.uint64(1), (len(low), n))
     for k in range(rows):
-        key = _mix(key * _C[2] + part[:, k])
+        key = _mix(key * _C[2] + part[:, :, k])
     return key.view(np.int64)
 
 
@@ -123,19 +144,23 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, keys, sigs, bands = [], [], [], []
-            for s in b.column("text"):
-                found = shingles(s.as_py(), size)
-                n.append(len(found))
-                if not len(found):
-                    keys.append(None), sigs.append(None), bands.append(None)
-                    continue
-                low = signature(found)
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                sigs.append((low & np.uint32(255)).astype(np.uint8).tobytes())
-                bands.append(band_keys(low, rows))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                n, keys, lows = [], [], []
+                for found in shingle_sets(b.column("text"), size):
+                    n.append(len(found))
+                    keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    if len(found):
+                        lows.append(signature(found))
+                low = np.stack(lows) if lows else np.zeros((0, HASHES), np.uint32)
+                short = (low & np.uint32(255)).astype(np.uint8)
+                place = np.cumsum([k is not None for k in keys]) - 1
+                mine = pa.array([None if k is None else int(i) for k, i in zip(keys, place)], pa.int32())
+                every = band_keys(low, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * every.shape[1]), pa.array(every.reshape(-1)))
+                sigs = pa.array([x.tobytes() for x in short], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), sigs.take(mine), lists.take(mine)], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
 
     return docs.mapInArrow(run, schema)
 
@@ -145,8 +170,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingles(s.as_py(), size) for s in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "items"])
+            found = [x.tobytes() for x in shingle_sets(b.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "items"])
 
     return docs.mapInArrow(run, "rep long, items binary")
 
@@ -172,37 +197,54 @@ def _merged(spark, comps: DataFrame, links: DataFrame) -> DataFrame:
     return common.stored(spark, comps.join(cc, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comps")
 
 
-def _compare_blocks(percent: int):
+def _compare(rows: list[tuple], percent: int, least: int) -> list[tuple[int, int]]:
+    """Links (comp, comp) that join components, of rows (i, j, rep, comp, block, n, sig, items) of one block pair."""
+    rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
+    first, second = rows[0][0], rows[0][1]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    comp, block, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+    out = []
+    ins, jns = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    for x in ins.tolist():
+        others = jns[jns > x] if first == second else jns
+        small, large = np.minimum(n[x], n[others]), np.maximum(n[x], n[others])
+        others = others[(100 * small >= percent * large) & (comp[others] != comp[x])]
+        for at in range(0, len(others), 4096):
+            some = others[at : at + 4096]
+            for y in some[(sig[some] == sig[x]).sum(axis=1) >= least].tolist():
+                u, v = find(int(comp[x])), find(int(comp[y]))
+                if u != v and linked(np.frombuffer(rows[x][7], np.uint64), np.frombuffer(rows[y][7], np.uint64), percent):
+                    root[max(u, v)] = min(u, v)
+                    out.append((int(comp[x]), int(comp[y])))
+    return out
+
+
+def compare_blocks(rest: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Rows are dealt and sorted by block pair and stream by; a task holds one block pair."""
     least = least_equal(percent)
+    columns = ["i", "j", "rep", "comp", "block", "n_shingles", "sig", "items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            links = []
+            for key, row in zip(b.column("key").to_pylist(), zip(*(b.column(c).to_pylist() for c in columns))):
+                if (key, *row[:2]) != now:
+                    links += _compare(rows, percent, least) if len(rows) > 1 else []
+                    now, rows = (key, *row[:2]), []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        links = _compare(rows, percent, least) if len(rows) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("rep").sort_values("rep", ignore_index=True)
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        comp, block, n = rows["comp"].to_numpy(), rows["block"].to_numpy(), rows["n_shingles"].to_numpy()
-        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        sets, out = rows["items"], []
-        ins, jns = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        for x in ins:
-            others = jns[jns > x] if first == second else jns
-            small, large = np.minimum(n[x], n[others]), np.maximum(n[x], n[others])
-            others = others[(100 * small >= percent * large) & (comp[others] != comp[x])]
-            for at in range(0, len(others), 4096):
-                some = others[at : at + 4096]
-                for y in some[(sig[some] == sig[x]).sum(axis=1) >= least]:
-                    u, v = find(int(comp[x])), find(int(comp[y]))
-                    if u != v and linked(np.frombuffer(sets[x], np.uint64), np.frombuffer(sets[y], np.uint64), percent):
-                        root[max(u, v)] = min(u, v)
-                        out.append((int(comp[x]), int(comp[y])))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    return run
+    return rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,7 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         rest = rest.join(sets.select("rep", "sig", "items", F.expr("length(items) div 8").alias("n_shingles")), "rep")
-        links = common.stored(spark, rest.groupBy("key", "i", "j").applyInPandas(_compare_blocks(percent), "u long, v long"), "links")
+        links = common.stored(spark, compare_blocks(rest, percent, common.parts(spark)), "links")
         if not links.isEmpty():
             comps = _merged(spark, comps, links)
 
