@@ -97,8 +97,10 @@ def encode_adpcm(pcm: np.ndarray, block: int = BLOCK) -> bytes:
         return b""
     n = -(-len(pcm) // per)
     x = np.concatenate([pcm, np.full(n * per - len(pcm), pcm[-1])]).astype(np.int32).reshape(n, per).T
-    value, index = x[0].copy(), np.zeros(n, np.int32)
+    value = x[0].copy()
+    index = np.minimum(np.searchsorted(IMA_STEPS, np.abs(x[1] - x[0])), 88).astype(np.int32)  # the first step fits the first difference
     out = np.zeros((n, block), np.uint8)
+    out[:, 2] = index
     out[:, :2] = x[0].astype("<i2").view(np.uint8).reshape(n, 2)
     for i in range(1, per):
         step, diff = IMA_STEPS[index], x[i] - value
