@@ -31,8 +31,8 @@ from . import common
 
 #: Bytes of a leaf that is merged directly.
 LEAF = 24
-#: Chunks a worker keeps.
-CACHE = 800_000
+#: Chunks a worker keeps; beyond, only the short ones stay, which are the frequent ones.
+CACHE, SHORT = 400_000, 6
 #: Leaves of the decoding tree have so many ids.
 DECODE_LEAF = 4096
 # Fixed values (SPACE): Unicode's White_Space property.
@@ -110,7 +110,9 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.cache = {c: v for c, v in self.cache.items() if len(c) <= SHORT}
+            if len(self.cache) > CACHE // 2:
+                self.cache = {}
         cache, chunks = self.cache, _CHUNK.findall(text)
         for c in set(chunks):
             if c not in cache:
