@@ -12,6 +12,7 @@ from . import values
 
 #: White space in the sense of Python's strip(): Unicode's, and the four information separators.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def let(value: Column, body) -> Column:
@@ -20,15 +21,15 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:

@@ -26,12 +26,20 @@ FIRST_MARKERS = [m for _, m, _ in _FIRST]
 FIRST = _apart(FIRST_MARKERS)
 
 
+#: Names without any misc marker, most of them, skip the passes for these.
+ANY_LAST = "|".join(text.literal(m) for _, m, _ in _LAST)
+
+
 def strip_markers(base: Column) -> Column:
     """A base name without its markers."""
-    c = text.strip(F.regexp_replace(base, FIRST, ""))
-    for _, m, _ in _LAST:
-        c = text.strip(F.regexp_replace(c, _apart([m]), ""))
-    return c
+
+    def passes(c: Column) -> Column:
+        rest = c
+        for _, m, _ in _LAST:
+            rest = text.strip(F.regexp_replace(rest, _apart([m]), ""))
+        return F.when(c.rlike(ANY_LAST), rest).otherwise(c)
+
+    return text.let(text.strip(F.regexp_replace(base, FIRST, "")), passes)
 
 
 def _hits(c: Column, pattern: str, rank: dict[str, int], rows: list[tuple[str, str, float]]) -> Column:
@@ -51,13 +59,17 @@ def _hits(c: Column, pattern: str, rank: dict[str, int], rows: list[tuple[str, s
 
 def removed_markers(base: Column) -> Column:
     """What strip_markers() removes: by class and marker in their order, then by place."""
-    lists = [_hits(base, FIRST, {m: i for i, (_, m, _) in enumerate(_FIRST)}, _FIRST)]
-    c = text.strip(F.regexp_replace(base, FIRST, ""))
-    for row in _LAST:
-        lists.append(_hits(c, _apart([row[1]]), {row[1]: 0}, [row]))
-        c = text.strip(F.regexp_replace(c, _apart([row[1]]), ""))
     none = F.array().cast("array<struct<rank:int,n:int,value:string,category:string,position:int,confidence:double>>")
-    every = F.concat(*(F.coalesce(x, none) for x in lists))
+
+    def last(c: Column) -> Column:
+        lists, rest = [], c
+        for row in _LAST:
+            lists.append(F.coalesce(_hits(rest, _apart([row[1]]), {row[1]: 0}, [row]), none))
+            rest = text.strip(F.regexp_replace(rest, _apart([row[1]]), ""))
+        return F.when(c.rlike(ANY_LAST), F.concat(*lists)).otherwise(none)
+
+    first = F.when(base.rlike(FIRST), _hits(base, FIRST, {m: i for i, (_, m, _) in enumerate(_FIRST)}, _FIRST)).otherwise(none)
+    every = F.concat(first, text.let(text.strip(F.regexp_replace(base, FIRST, "")), last))
     return F.transform(every, lambda x: F.struct(x.value.alias("value"), x.category.alias("category"), x.position.alias("position"), x.confidence.alias("confidence")))
 
 

@@ -115,10 +115,18 @@ def diff_rows(pairs: DataFrame, fields: list[str], key: str = "row_id") -> DataF
     return pairs.select(key, *(diff_cell(F.col(f"p_{f}"), F.col(f"r_{f}")).alias(f) for f in fields))
 
 
-def missing_values(pairs: DataFrame, field: str) -> DataFrame:
-    """Distinct expected values of a field that were not found at all, sorted: entries that a dictionary lacks."""
-    lost = pairs.where(_filled(F.col(f"r_{field}")) & ~_filled(F.col(f"p_{field}")))
-    return lost.select(F.col(f"r_{field}").alias("value")).distinct().orderBy("value")
+def missing_values(pairs: DataFrame, field: str, incorrect: bool = False) -> DataFrame:
+    """Distinct expected values of a field that were not found, sorted: entries that a dictionary lacks. With
+    incorrect, also those in whose place another value was returned."""
+    p = F.col(f"p_{field}")
+    missed = ~_filled(p) | (p != F.col(f"r_{field}")) if incorrect else ~_filled(p)
+    return pairs.where(_filled(F.col(f"r_{field}")) & missed).select(F.col(f"r_{field}").alias("value")).distinct().orderBy("value")
+
+
+def suggestions(pairs: DataFrame) -> dict:
+    """Missing studios, missing codes, and noisy groups with their counts."""
+    listed = lambda df: [r.value for r in df.collect()]
+    return {"missing_studios": listed(missing_values(pairs, "studio")), "missing_studio_codes": listed(missing_values(pairs, "studio_code", incorrect=True)), "noisy_groups": [(r.value, r.n) for r in false_groups(pairs).collect()]}
 
 
 def false_groups(pairs: DataFrame) -> DataFrame:

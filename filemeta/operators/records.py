@@ -67,11 +67,34 @@ def _first_date() -> Column:
     return F.get(F.filter("tokens", lambda t: t.type == "date"), F.lit(0)).value
 
 
-def result_json(df: DataFrame) -> Column:
-    """A parse as JSON: original, cleaned, pattern, studio, and each token under tokenN (a path under path)."""
+def cleaned_json() -> Column:
+    """A cleaned name as JSON: original, cleaned, removed_tokens."""
+    return F.to_json(F.struct(F.col("name").alias("original"), "cleaned", F.col("removed").alias("removed_tokens")), {"ignoreNullFields": "false"})
+
+
+def _joined(*objects: Column) -> Column:
+    """Flat JSON objects as one; empty and null ones add nothing."""
+    inner = F.transform(F.array(*objects), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+    return F.concat(F.lit("{"), F.array_join(F.filter(inner, lambda x: x != ""), ","), F.lit("}"))
+
+
+def parsed_json() -> Column:
+    """A parse as JSON: original, cleaned, pattern, tokens, each token's value under tokenN (a path's under path), and
+    the studio if there is one. Title, sequence, group and code are columns, not part of it."""
     shift = F.when(F.get("tokens", F.lit(0)).type == "path", 1).otherwise(0)
-    entries = F.transform("tokens", lambda t, i: F.struct(F.when(t.type == "path", "path").otherwise(F.concat(F.lit("token"), (i - shift).cast("string"))).alias("k"), F.to_json(F.struct(t.value.alias("value"), t.type.alias("type"), t.position.alias("position"))).alias("v")))
-    return F.to_json(F.struct(F.col("name").alias("original"), "cleaned", "pattern", "studio", F.map_from_entries(entries).alias("tokens")))
+    listed = F.transform("tokens", lambda t: F.struct(t.value.alias("value"), t.type.alias("type"), t.position.alias("position")))
+    base = F.to_json(F.struct(F.col("name").alias("original"), "cleaned", "pattern", listed.alias("tokens")), {"ignoreNullFields": "false"})
+    named = F.transform("tokens", lambda t, i: F.struct(F.when(t.type == "path", "path").otherwise(F.concat(F.lit("token"), (i - shift).cast("string"))).alias("k"), t.value.alias("v")))
+    studio = F.when(~text.blank(F.col("studio")), F.to_json(F.struct("studio")))
+    return _joined(base, F.to_json(F.map_from_entries(named)), studio)
+
+
+def observed(df: DataFrame, name: str = "progress"):
+    """(df, observation): rows, and rows without a title, counted as a job over df runs; for logs."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("title").isNull()).alias("without_title")), seen
 
 
 def export_row(df: DataFrame) -> DataFrame:

@@ -112,16 +112,35 @@ def evaluate_blind(rows: DataFrame) -> dict:
     return {"mode": "blind", "total_rows": total, "field_coverage": cover, "avg_match_rate": mean, "pattern_histogram": [{"pattern": r.pattern, "count": r.n} for r in top], "anomalies": odd}
 
 
-def evaluate_labelled(rows: DataFrame, reference: DataFrame, samples: int = 10) -> dict:
-    """Key metrics, counts by field and samples of mismatches against labelled rows of the same row_id."""
+def labelled_pairs(rows: DataFrame, reference: DataFrame) -> DataFrame:
     side = lambda df: evaluate.as_text(df.withColumnRenamed("filename_pattern", "pattern").select("row_id", "pattern", *evaluate.values.FIELDS))
-    pairs = evaluate.pair(side(rows), side(reference))
+    return evaluate.pair(side(rows), side(reference))
+
+
+def evaluate_labelled(rows: DataFrame, reference: DataFrame, samples: int = 10) -> dict:
+    """Key metrics, counts by field, samples of mismatches and suggestions for the dictionaries, against labelled rows
+    of the same row_id."""
+    pairs = labelled_pairs(rows, reference)
     long = evaluate.long_form(pairs)
     fields = {r.field: r.asDict() for r in evaluate.field_metrics(long).collect()}
     files = evaluate.file_metrics(pairs).first()
     key = {"pattern_match_rate": files.pattern_rate, "metadata_false_negative_rate": fields["overall"]["fn_rate"], "metadata_false_positive_rate": fields["overall"]["fp_rate"], "metadata_accuracy_rate": fields["overall"]["acc_rate"], "parsed_perfect_rate": files.perfect_rate}
     wrong = [r.asDict() for r in evaluate.mismatches(long, samples).collect()]
-    return {"mode": "reference", "key_metrics": key, "summary": files.asDict(), "field_breakdown": fields, "sample_mismatches": wrong}
+    return {"mode": "reference", "key_metrics": key, "summary": files.asDict(), "field_breakdown": fields, "sample_mismatches": wrong, "suggestions": evaluate.suggestions(pairs)}
+
+
+def evaluation_sheets(rows: DataFrame, reference: DataFrame | None = None) -> list[sinks.Sheet]:
+    """One sheet of results; with labelled rows three: reference, results, and the differences, marked."""
+    columns = scans.LABELLED
+    shown = lambda df: records.export_row(df.orderBy("row_id").select(*columns))
+    if reference is None:
+        return [sinks.Sheet("Results", shown(rows))]
+    fields = [c for c in columns if c not in ("input", "match_stats", "unlabeled_filename_tokens")]
+    flat = lambda df: evaluate.as_text(df, columns).select("row_id", *columns)
+    pairs = evaluate.pair(flat(rows), flat(reference))
+    cells = [evaluate.diff_cell(F.col(f"p_{c}"), F.col(f"r_{c}")).alias(c) if c in fields else F.col(f"{'r' if c.startswith('unlabeled') else 'p'}_{c}").alias(c) for c in columns]
+    marked = lambda v: v is not None and '"expected":' in str(v)
+    return [sinks.Sheet("Reference", shown(reference)), sinks.Sheet("Results", shown(rows)), sinks.Sheet("Diff", shown(pairs.select("row_id", *cells)), highlight=marked)]
 
 
 def check_dictionaries(spark: SparkSession, studio_rows: list[dict], rules: list[dict], aliases: dict[str, str]) -> dict[str, list]:
@@ -141,6 +160,20 @@ def check_dictionaries(spark: SparkSession, studio_rows: list[dict], rules: list
     }
 
 
+def check_cli(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    p = argparse.ArgumentParser(description="check dictionaries; the exit code is 1 if a check fails")
+    p.add_argument("studios")
+    p.add_argument("--rules")
+    p.add_argument("--aliases")
+    a = p.parse_args(argv)
+    spark = spark or session()
+    load = lambda path, default: (scans.dictionary(spark, path, cache=False) if path else None) or default
+    found = check_dictionaries(spark, load(a.studios, []), load(a.rules, []), load(a.aliases, {}))
+    for name, rows in found.items():
+        print(f"{name}: {'ok' if not rows else json.dumps(rows, default=str)}")
+    return int(any(found.values()))
+
+
 def evaluate_cli(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(description="evaluate the parser on a list of names")
     p.add_argument("input")
@@ -149,6 +182,7 @@ def evaluate_cli(argv: list[str] | None = None, spark: SparkSession | None = Non
     p.add_argument("--samples", type=int, default=10)
     p.add_argument("--studios", help="JSON dictionary of studios")
     p.add_argument("--output", help="JSON file for the metrics")
+    p.add_argument("--workbook", help="file for the rows; needs openpyxl")
     a = p.parse_args(argv)
     spark = spark or session()
     dim = studios.rows_from_dictionary(scans.dictionary(spark, a.studios) or [] if a.studios else [])
@@ -157,9 +191,12 @@ def evaluate_cli(argv: list[str] | None = None, spark: SparkSession | None = Non
     try:
         if a.reference:
             # Rows pair by place; a limit holds for both sides.
-            found = evaluate_labelled(*_by_place(rows, scans.labelled(spark, a.reference), a.limit), a.samples)
+            rows, reference = _by_place(rows, scans.labelled(spark, a.reference), a.limit)
+            found = evaluate_labelled(rows, reference, a.samples)
         else:
-            found = evaluate_blind(rows)
+            found, reference = evaluate_blind(rows), None
+        if a.workbook:
+            sinks.write_workbook(a.workbook, evaluation_sheets(rows, reference))
     finally:
         rows.unpersist()
     print(json.dumps(found, indent=2, default=str))

@@ -97,7 +97,13 @@ def test_report_and_cards(spark):
     assert (r.studio, r.title, r.performers) == ("<Own>", "Big Day", "A, B") and r.bold_mask == [False] * 4 + [True, False, True] + [False] * 4
     page = records.cards(spark.createDataFrame([("1", "<Own>")], "id string, studio string").withColumn("cmp_studio", F.struct(F.lit("match").alias("status"))), ["studio"]).first().html
     assert "&lt;Own&gt;" in page and 'class="studio match"' in page
-    assert json.loads(parse.parse_names(df).select(records.result_json(None).alias("j")).first().j)["tokens"]["token0"]
+    told = json.loads(parse.parse_names(df).select(records.parsed_json().alias("j")).first().j)
+    assert told["token0"] == "Acme" and told["token1"] == "Big Day" and told["tokens"][0]["position"] == 0 and "studio" not in told
+    none = json.loads(parse.parse_names(spark.createDataFrame([(None,)], "name string")).select(records.parsed_json().alias("j")).first().j)
+    assert none == {"original": None, "cleaned": None, "pattern": "", "tokens": []}
+    assert json.loads(parse.parse_names(df).select(records.cleaned_json().alias("j")).first().j)["removed_tokens"] == []
+    watched, seen = records.observed(parse.parse_names(df))
+    assert watched.count() == 1 and seen.get == {"rows": 1, "without_title": 0}
     assert records.export_row(parse.parse_names(df).select("studio", "sequence", "tokens")).first().sequence == ""
 
 
@@ -175,6 +181,11 @@ def test_evaluate_cli(spark, tmp_path, capsys):
     (tmp_path / "l.csv").write_text(head + "\n" + "a,,,[{token0}] {title} - {date},,Big Day,,2020-01-02,,,,,\nb,,,{token0},,\"Foo, Scene 3\",,,,\"{\"\"scene\"\":3}\",Foo,,\n")
     assert app.evaluate_cli([str(tmp_path / "n.txt"), "--reference", str(tmp_path / "l.csv"), "--output", str(tmp_path / "r.json")], spark) == 0
     key = json.loads((tmp_path / "r.json").read_text())["key_metrics"]
+    names, labels = scans.names(spark, str(tmp_path / "n.txt")), scans.labelled(spark, str(tmp_path / "l.csv"))
+    sheets = app.evaluation_sheets(*app._by_place(parse.evaluation_rows(names), labels, None))
+    assert [x.name for x in sheets] == ["Reference", "Results", "Diff"] and sum(sheets[2].highlight(v) for v in sinks.sheet_rows(sheets[2])[1][0]) == 3
+    (tmp_path / "s.json").write_text('[{"canonical_name": "A"}, {"canonical_name": "a"}]')
+    assert app.check_cli([str(tmp_path / "s.json")], spark) == 1
     assert key["metadata_false_negative_rate"] == 0.0 and key["pattern_match_rate"] == 100.0
 
 
