@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import common
-from .word_tokens import WordTokens
+from .word_tokens import ROWS, WordTokens
 
 #: Tokens in the pool at which windows are filled, and down to which.
 POOL_HIGH, POOL_LOW = 1 << 21, 1 << 20
@@ -135,15 +135,15 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
             packer.out = []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 8)], names=SCHEMA.names)
 
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                for name, ids in zip(part.column(doc_id).to_pylist(), tokens.encode(part.column(text))):
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                for name, ids in zip(b.column(doc_id).to_pylist(), tokens.encode(b.column(text))):
                     held[number] = name, ids + end, len(ids) // 4 + 1
                     packer.add(number, len(ids) // 4 + 1)
                     number += 1
-                if packer.total > POOL_HIGH:
-                    packer.drain(POOL_LOW)
+                    if packer.total > POOL_HIGH:
+                        packer.drain(POOL_LOW)
                 yield rows()
         packer.finish()
         yield rows()

@@ -10,22 +10,36 @@ it has seen up to a bound.
 from __future__ import annotations
 
 import os
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts a worker keeps.
-CACHE = 600_000
-#: Bytes of text that are looked up together.
-BLOCK = 8 << 20
+#: Parts a worker keeps; beyond, only those of the last block stay, which has all frequent ones.
+CACHE = 300_000
+#: Bytes, and rows, of text that are looked up together; they bound a worker's memory.
+BLOCK, ROWS = 8 << 20, 2000
 #: Words that go through the library in one text.
 TOGETHER = 2000
 #: ASCII punctuation that may be cut off behind a letter: no apostrophe, which begins contractions.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words on which a file is tried before its model is asked directly.
+TRIED = 200
 _LOADED: dict[str, "WordTokens"] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters that stand for bytes in byte-level files: printable bytes for themselves, the others counted up
+    from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
 def _list(values: pa.Array) -> list:
     return values.to_numpy(zero_copy_only=False).tolist()
 
@@ -38,6 +52,12 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cache: dict[str, bytes] = {}
+        self.model, self.direct = self.library.model, None
+
+    def _ask(self, word: str) -> bytes:
+        """The library's model on a word of Latin-1 letters, which normalizing leaves but for case."""
+        low = word if word.isascii() else word.lower().encode().decode("latin-1").translate(_LETTERS)
+        return pack(f"<{len(found := self.model.tokenize(low))}I", *[t.id for t in found])
 
     @classmethod
     def of(cls, path: str) -> "WordTokens":
@@ -50,10 +70,19 @@ class WordTokens:
         return self.library.get_vocab_size(with_added_tokens=True)
 
     def _learn(self, new: list[str]) -> None:
-        """Cache what the library gives for parts. Words of letters go through it many at a time, told apart by
-        their pre-token numbers; should a word have come to several pre-tokens, each goes alone."""
+        """Cache what the library gives for parts. Words of Latin-1 letters go straight to its model, if that gave
+        the whole library's ids for the first words seen; other words of letters go through the library many at a time, told apart
+        by their pre-token numbers; should a word have come to several pre-tokens, each goes alone."""
         plain = [c for c in new if c.isalpha()]
         rest = [c for c in new if not c.isalpha()]
+        simple = [c for c in plain if max(c) <= "\xff" and (not c.isascii() or c.islower())]
+        if self.direct is None and simple:
+            some = simple[:TRIED]
+            found = self.library.encode_batch_fast(some, add_special_tokens=False)
+            self.direct = all(self._ask(c) == np.array(e.ids, "<u4").tobytes() for c, e in zip(some, found))
+        if self.direct:
+            self.cache.update([(c, self._ask(c)) for c in simple])
+            plain = [c for c in plain if c not in self.cache]
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
             found = self.library.encode(" ".join(some), add_special_tokens=False)
@@ -92,10 +121,14 @@ class WordTokens:
         words, tails = pc.ascii_lower(bare).dictionary_encode(), rest.dictionary_encode()
         number = np.stack([words.indices.to_numpy(), tails.indices.to_numpy() + len(words.dictionary)], axis=1)
         parts = _list(words.dictionary) + _list(tails.dictionary)
+        self.cache[""] = b""
+        get = self.cache.get
+        known = list(map(get, parts))
+        if None in known:
+            self._learn(list({p for p, k in zip(parts, known) if k is None}))
+            known = list(map(get, parts))
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        self._learn(list(set(parts).difference(self.cache, ("",))))
-        known = [self.cache[p] if p else b"" for p in parts]
+            self.cache = dict(zip(parts, known))
         ids = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int32, len(known)) // 4
         # First the ids of each distinct chunk, then of each text.
