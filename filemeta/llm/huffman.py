@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .word_tokens import WordTokens
+from .word_tokens import ROWS, WordTokens
 
 STRIDE = 256
 BLOCK_TOKENS = 1 << 19
@@ -95,15 +96,36 @@ def lookup(lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
 
 def encode_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Code bits padded to a byte, and the bit offset of every STRIDE-th token."""
+    data, _, marks = encode_many(ids, np.array([0, len(ids)]), codes, lengths)
+    return data, marks[0]
+
+
+def encode_many(ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, list[np.ndarray]]:
+    """Runs of ids between bounds, each run's code bits from a byte on: all bytes, the runs' byte bounds, and for each
+    run the bit offset, within it, of every STRIDE-th token."""
     size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    start = end - size
-    total = int(end[-1]) if len(end) else 0
+    ends = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    bits = ends[bounds]
+    cuts = np.zeros(len(bounds), np.int64)
+    np.cumsum((np.diff(bits) + 7) // 8, out=cuts[1:])
+    start = ends[:-1] + np.repeat(cuts[:-1] * 8 - bits[:-1], np.diff(bounds))
     # A code of up to 16 bits that begins within a byte covers at most three bytes.
-    word = codes[ids].astype(np.int64) << (24 - size - (start & 7))
-    byte, n = start >> 3, (total + 7) // 8 + 3
-    out = sum(np.bincount(byte + k, (word >> (16 - 8 * k)) & 255, n) for k in range(3))
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), start[::STRIDE]
+    word, byte = codes[ids].astype(np.int64) << (24 - size - (start & 7)), start >> 3
+    out = np.zeros(int(cuts[-1]) + 3)
+    for k in range(3):
+        out += np.bincount(byte + k, (word >> (16 - 8 * k)) & 255, len(out))
+    marks = [start[a:b:STRIDE] - 8 * c for a, b, c in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1].tolist())]
+    return out[: int(cuts[-1])].astype(np.uint8).tobytes(), cuts, marks
+
+
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """All ids of a binary column without nulls in a row."""
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, kind)
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])).view(kind)
 
 
 def decode_block(bits: np.ndarray, at: np.ndarray, tokens: np.ndarray, table: tuple[int, np.ndarray, np.ndarray]) -> np.ndarray:
@@ -125,34 +147,38 @@ def decode_block(bits: np.ndarray, at: np.ndarray, tokens: np.ndarray, table: tu
 
 
 def tokenised(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids, 16-bit where the vocabulary allows it, the end id included."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType())])
+    """doc_id and ids, 16-bit where the vocabulary allows it, the end id included; and a row of each task that has the
+    counts of its ids, a 64-bit integer for each id of the vocabulary, in place of them."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens.of(path)
         kind = "<u2" if words.size <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                out = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in words.encode(part.column(text))]
-                yield pa.RecordBatch.from_arrays([part.column(doc_id).cast(pa.int64()).fill_null(NULL_ID), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        end, total = np.array([end_id], kind).tobytes(), np.zeros(words.size, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                out = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in words.encode(b.column(text))]
+                total += np.bincount(np.frombuffer(b"".join(out), kind), minlength=words.size)
+                yield pa.RecordBatch.from_arrays([b.column(doc_id).cast(pa.int64()).fill_null(NULL_ID), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=schema.names)
 
     return df.select(doc_id, text).mapInArrow(run, schema)
 
 
-def global_counts(ids: DataFrame, kind: str, size: int) -> np.ndarray:
-    """Counts of all ids: each task's sums by id, then theirs; the driver gets a row per id of the vocabulary."""
+def global_counts(stored: DataFrame, size: int) -> np.ndarray:
+    """Counts of all ids, from the tasks' counts: summed by partition, then by id; the driver gets a row per id of the
+    vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for v in b.column("ids"):
-                total += np.bincount(np.frombuffer(v.as_buffer(), kind), minlength=size)
+            for v in b.column("counts"):
+                total += np.frombuffer(v.as_buffer(), "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = stored.select("counts").where("counts is not null").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -170,13 +196,12 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, kind: str, bounds: list[in
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                data = [np.frombuffer(v.as_buffer(), kind) for v in part.column("ids")]
-                # One long stream for all would need padding at the documents' ends; a document at a time is exact.
-                done = [encode_bits(x, codes, size) for x in data]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array([m.astype("<u4").tobytes() for _, m in done], pa.binary()), pa.array([x for x, _ in done], pa.binary())],
-                    names=coded.names,
-                )
+                tokens = pc.binary_length(part.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+                bounds = np.concatenate([[0], np.cumsum(tokens)])
+                data, cuts, marks = encode_many(_flat(part.column("ids"), kind), bounds, codes, size)
+                cuts = cuts.tolist()
+                bits = pa.array([data[i:j] for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary()), bits], names=coded.names)
 
     block = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("total", T.LongType())] + [T.StructField(n, T.BinaryType()) for n in ("docs", "tokens", "starts", "marks", "bits")])
 
@@ -245,10 +270,11 @@ def op9_token_files(spark, sf_dir: str, path: str | None = None, end_id: int = 1
     common.ship(spark)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     docs, ranges = common.table(spark, sf_dir, "documents"), common.parts(spark)
-    ids = common.stored(spark, tokenised(docs, path, end_id), "ids")
+    stored = common.stored(spark, tokenised(docs, path, end_id), "ids")
+    ids = stored.where("counts is null").select("doc_id", "ids")
     size = WordTokens.of(path).size
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    lengths = code_lengths(global_counts(ids, kind, size), max(LIMIT, int(np.ceil(np.log2(size)))))
+    lengths = code_lengths(global_counts(stored, size), max(LIMIT, int(np.ceil(np.log2(size)))))
     blocks = common.stored(spark, write_blocks(ids, lengths, kind, common.bounds_of(ids, "doc_id", 4 * ranges), ranges), "blocks")
     found = read_blocks(blocks, lengths).drop("ids")
     starts = block_starts(blocks.select("range", "block", "total"))
