@@ -37,7 +37,7 @@ HASHES, MISS = 180, 1e-6
 #: Standard errors of the signature's estimate that a pair may lie under the threshold.
 ERRORS = 5
 ROUNDS = 3
-BLOCK = 1000
+BLOCK = 250
 NULL_ID = -(1 << 63)
 #: Bytes of text whose words are hashed together.
 TEXT_BLOCK = 8 << 20
