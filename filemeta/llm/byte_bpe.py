@@ -32,7 +32,8 @@ from . import common
 #: Bytes of a leaf that is merged directly.
 LEAF = 24
 #: Chunks a worker keeps; beyond, only the short ones stay, which are the frequent ones.
-CACHE, SHORT = 400_000, 6
+CACHE, SHORT = 600_000, 8
+NO_RANK = 1 << 60
 #: Leaves of the decoding tree have so many ids.
 DECODE_LEAF = 4096
 # Fixed values (SPACE): Unicode's White_Space property.
@@ -62,21 +63,16 @@ class ByteBPE:
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Merge the adjacent pair of lowest rank, the leftmost of ties, until none is in the vocabulary."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = self.ranks
-        scores = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-        while scores:
-            low = min(scores)
-            if low == 1 << 60:
-                break
+        get, cuts = self.ranks.get, list(range(len(piece) + 1))
+        scores = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while scores and (low := min(scores)) != NO_RANK:
             i = scores.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del scores[i]
+            del cuts[i + 1], scores[i]
             if i:
-                scores[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
+                scores[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
             if i < len(scores):
-                scores[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
-        return parts
+                scores[i] = get(piece[cuts[i] : cuts[i + 2]], NO_RANK)
+        return [piece[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def _compatible(self, a: bytes, b: bytes) -> bool:
         return self.merge(a + b) == [a, b]
