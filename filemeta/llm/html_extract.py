@@ -1,8 +1,8 @@
 """Main text of web pages by two passes over blocks.
 
 A page is cut at its tags into blocks of text. Blocks of scripts, styles, forms, menus, headers, footers, asides and
-of containers whose class, id or role names such a part are dropped; where a page marks an article or main part, so
-are blocks outside it. Pass one classifies each remaining block by length, stop-word density and link density as good,
+of containers whose class, id or role names such a part are dropped, unless such a container is a layout wrapper
+around the article (_spared); where a page marks an article or main part, so are blocks outside it. Pass one classifies each remaining block by length, stop-word density and link density as good,
 bad or ambiguous. Pass two gives ambiguous blocks the label of the nearest decided neighbours in the same container;
 where these differ, the nearer wins, at equal distance the one that reads on (before).
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,38 +38,58 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog button fieldse
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 # Words in class, id and role that mark parts other than the article.
 NAMES = "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidebars menu menus nav navbar navigation footer header masthead comment comments respond reply replies cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager disqus widget widgets login signup search toolbar complementary contentinfo dialog alertdialog".split()
-_NAMED = re.compile(r"(?:^|[\s_-])(?:" + "|".join(NAMES) + r")(?=$|[\s_\d-])", re.I)
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# Those of them that name regions of a page, which the classes of layout wrappers name as well.
+LAYOUT = frozenset("ad ads banner sidebar sidebars menu menus nav navbar navigation footer header masthead breadcrumb breadcrumbs toolbar widget widgets share sharing social search".split())
+# A word behind has-, with- or no- says what a container has, not what it is.
+_NAMED = re.compile(r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?<!\bwithout[_-])(" + "|".join(NAMES) + r")(?=$|[\s_\d-])", re.I)
+_MARKS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 
 
-def _unwanted(name: str, attributes: str) -> bool:
+def _unwanted(name: str, attributes: str) -> tuple[bool, set[str]]:
+    """Whether the element is dropped whatever it holds, and the words of NAMES in its class, id and role."""
     if name in BOILERPLATE:
-        return True
+        return True, set()
+    words: set[str] = set()
     if not attributes.strip():
-        return False
+        return False, words
+    seen = set()
     for m in _MARKS.finditer(attributes):
-        key, value = m[1].lower(), next((v for v in m.groups()[1:] if v is not None), "")
+        key = m[1].lower()
+        if key in seen:
+            continue
+        seen.add(key)
+        value = next((v for v in m.groups()[1:] if v is not None), "")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and _NAMED.search(value) and name not in ("html", "body", "article", "main"):
-            return True
-    return False
+            return True, words
+        if key in ("class", "id", "role") and name not in ("html", "body"):
+            words.update(w.lower() for w in _NAMED.findall(value))
+    return False, words
 
 
 class Block:
-    __slots__ = ("parts", "linked", "container", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "container", "heading", "text", "label", "named")
 
-    def __init__(self, container: int, heading: bool):
+    def __init__(self, container: int, heading: bool, named: tuple["Named", ...]):
         self.parts: list[str] = []
-        self.linked, self.container, self.heading = 0, container, heading
+        self.linked, self.container, self.heading, self.named = 0, container, heading, named
         self.text, self.label = "", ""
 
 
+class Named:
+    """An open element that its class, id or role names as another part than the article."""
+
+    __slots__ = ("layout", "mains", "articles", "spared")
+
+    def __init__(self, layout: bool):
+        self.layout, self.mains, self.articles, self.spared = layout, set(), set(), False
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that no tag rules out, in order; container 0 is outside article and main."""
     out, stack, drop, links, serial = [], [], 0, 0, 0
     current: list[int] = [0]
+    named: list[Named] = []
     block = None
 
     def text(raw: str) -> None:
@@ -76,12 +97,21 @@ def blocks_of(page: str) -> list[Block]:
         if drop or not raw:
             return
         if block is None:
-            block = Block(current[-1], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]))
+            block = Block(current[-1], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]), tuple(named))
             out.append(block)
         block.parts.append(raw)
         if links:
             block.linked += len(raw.strip())
 
+    def shut() -> None:
+        nonlocal drop
+        _, bad, part, mark = stack.pop()
+        drop -= bad
+        if part:
+            current.pop()
+        if mark:
+            named.pop()
+
     at = 0
     while m := _TAG.search(page, at):
         text(page[at : m.start()])
@@ -99,11 +129,8 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for tag, bad, part in stack[i:]:
-                        drop -= bad
-                        if part:
-                            current.pop()
-                    del stack[i:]
+                    for _ in range(len(stack) - i):
+                        shut()
                     break
             continue
         if name in RAW:
@@ -122,14 +149,20 @@ def blocks_of(page: str) -> list[Block]:
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             # A new one closes an open one of the same kind beside it.
             if stack and stack[-1][0] == name:
-                drop -= stack.pop()[1]
-        bad = _unwanted(name, attributes)
+                shut()
+        bad, words = _unwanted(name, attributes)
         part = name in ("article", "main") and not drop and not bad
         if part:
             serial += 1
             current.append(serial)
+            for e in named:
+                # An article that is itself named so, as a comment or a card, does not tell a wrapper.
+                (e.mains if name == "main" else e.articles if not words else set()).add(serial)
+        mark = bool(words) and not bad and name not in ("article", "main")
+        if mark:
+            named.append(Named(words <= LAYOUT))
         drop += bad
-        stack.append((name, bad, part))
+        stack.append((name, bad, part, mark))
         if name not in INLINE:
             links = 0
     text(page[at:])
@@ -153,12 +186,51 @@ def _first_pass(b: Block) -> str:
     return "short" if b.container else "bad"
 
 
+def _spared(found: list[Block]) -> list[Block]:
+    """The blocks outside named elements and in those that turn out to be layout wrappers, from the outside inwards: an
+    element that holds the main part; or where no article is left outside, one that holds an article with as much
+    good text as is outside, or, with no good text outside, one that names regions only and holds some."""
+    shown = [b for b in found if not b.named]
+    if len(shown) == len(found) or any(b.container for b in shown) and not any(e.mains for b in found for e in b.named):
+        return shown
+    good = [len(b.text) if _first_pass(b) == "good" else 0 for b in found]
+    much, parts = Counter(), defaultdict(set)
+    for b, n in zip(found, good):
+        for e in b.named:
+            much[e] += n
+            parts[e].add(b.container)
+    tried: set[Named] = set()
+    while True:
+        left = [next((e for e in b.named if not e.spared), None) for b in found]
+        outside, article = sum(n for n, e in zip(good, left) if e is None), any(b.container for b, e in zip(found, left) if e is None)
+
+        def spare(e: Named) -> bool:
+            if parts[e] & e.mains:
+                return True
+            if article:
+                return False
+            holds = not parts[e].isdisjoint(e.articles)
+            if e.layout:
+                return holds and much[e] >= outside or not outside and much[e] > 0
+            return holds and much[e] > 0 and not outside
+
+        # The one with the main part, then with the most good text, first; what it shows counts for the others.
+        for e in sorted({e: None for e in left if e and e not in tried}, key=lambda e: (parts[e].isdisjoint(e.mains), -much[e])):
+            tried.add(e)
+            if spare(e):
+                e.spared = True
+                break
+        else:
+            return [b for b, e in zip(found, left) if e is None]
+
+
 def main_text(page: str | None) -> str:
     found = []
     for b in blocks_of(page or ""):
         b.text = " ".join(entities.unescape("".join(b.parts)).split())
         if b.text:
             found.append(b)
+    found = _spared(found)
     if any(b.container for b in found):
         found = [b for b in found if b.container]
     labels = [_first_pass(b) for b in found]
