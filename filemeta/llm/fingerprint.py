@@ -1,13 +1,16 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
 A paragraph (a line that is not empty) is hashed to a wide vector; a text's fingerprint is the sum of its paragraphs'
-vectors, each lane modulo 2^16. So the order of paragraphs does not matter, and a paragraph is inserted or deleted by
+vectors, dense lanes modulo 2^16 and sketch lanes modulo 2^32. So the order of paragraphs does not matter, and a paragraph is inserted or deleted by
 adding or subtracting its vector. A vector has two parts:
 
   DENSE lanes    a 256-bit hash of the paragraph; texts with the same multiset agree, others do not
   SKETCH lanes   +1 or -1 for each window of eight bytes of the paragraph (zero bytes behind its end), at a lane and
                  with a sign that the window's hash gives; the cosine of two texts' lanes, read as signed numbers,
-                 estimates the cosine of their window counts, which is their likeness
+                 estimates the cosine of their window counts, which is their likeness; a text has under 2^31
+                 bytes, so no lane of it changes its sign
+
+A vector is an array of 16-bit words: the dense lanes, the upper halves of the sketch lanes, their lower halves.
 
 Defined results: a null or empty text has the zero vector, like to itself (1.0) and to no other (0.0); repeated rows
 agree; long texts are hashed whole. A null doc_id comes first in the order of ids.
@@ -27,7 +30,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-DENSE, SKETCH = 16, 240
+HASH, SKETCH = 16, 240
+#: Words before the lower halves of the sketch lanes: dense lanes and upper halves.
+DENSE = HASH + SKETCH
 LANES = DENSE + SKETCH
 WINDOW = 8
 NULL_ID = -(1 << 63)
@@ -44,8 +49,8 @@ def vector(text: str | None) -> np.ndarray:
     out = np.zeros(LANES, np.uint16)
     if not paragraphs:
         return out
-    digests = b"".join(hashlib.blake2b(p, digest_size=2 * DENSE).digest() for p in paragraphs)
-    out[:DENSE] = np.frombuffer(digests, "<u2").reshape(-1, DENSE).sum(axis=0, dtype=np.uint16)
+    digests = b"".join(hashlib.blake2b(p, digest_size=2 * HASH).digest() for p in paragraphs)
+    out[:HASH] = np.frombuffer(digests, "<u2").reshape(-1, HASH).sum(axis=0, dtype=np.uint16)
     lanes = np.zeros(SKETCH, np.int64)
     data = _GAP.join(paragraphs) + _GAP * 2
     starts = np.frombuffer(data, np.uint8) != 0
@@ -64,13 +69,23 @@ def vector(text: str | None) -> np.ndarray:
             slot = ((h >> np.uint64(1)) * np.uint64(SKETCH) >> np.uint64(23) << np.uint64(1) | h & np.uint64(1)).astype(np.int64)
             found = np.bincount(slot, minlength=2 * SKETCH).reshape(-1, 2)
             lanes += found[:, 0] - found[:, 1]
-    out[DENSE:] = lanes.astype(np.uint16)
-    return out
+    return _with_sketch(out, lanes)
+
+
+def _with_sketch(v: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """v with these sketch lanes, modulo 2^32."""
+    v[HASH:DENSE], v[DENSE:] = (lanes >> 16 & 0xFFFF).astype(np.uint16), (lanes & 0xFFFF).astype(np.uint16)
+    return v
+
+
+def sketch_of(v: np.ndarray) -> np.ndarray:
+    """The sketch lanes, as signed numbers."""
+    return (v[HASH:DENSE].astype(np.uint32) << np.uint32(16) | v[DENSE:]).view(np.int32).astype(np.int64)
 
 
 def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """Fingerprint of the union of two multisets (sign 1), or of a without b (sign -1)."""
-    return a + b if sign > 0 else a - b
+    return _with_sketch(a + b if sign > 0 else a - b, sketch_of(a) + sketch_of(b) * (1 if sign > 0 else -1))
 
 
 def encode(v: np.ndarray) -> str:
@@ -85,7 +100,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1: 1 for equal fingerprints, else the cosine of the sketches, not below 0."""
     if (a == b).all():
         return 1.0
-    x, y = a[DENSE:].view(np.int16).astype(np.float64), b[DENSE:].view(np.int16).astype(np.float64)
+    x, y = sketch_of(a).astype(np.float64), sketch_of(b).astype(np.float64)
     size = float(np.sqrt(x @ x) * np.sqrt(y @ y))
     return min(1.0, max(0.0, float(x @ y) / size)) if size else 0.0
 
