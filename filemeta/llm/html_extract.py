@@ -3,7 +3,8 @@
 A page is cut at its tags into blocks of text. Blocks of scripts, styles, forms, menus, headers, footers, asides and
 of containers whose class, id or role names such a part are dropped, unless such a container is a layout wrapper
 around the article (_spared); where a page marks an article or main part, so are blocks outside it. Pass one classifies each remaining block by length, stop-word density and link density as good,
-bad or ambiguous. Pass two gives ambiguous blocks the label of the nearest decided neighbours in the same container;
+bad or ambiguous. Where article and main parts hold the larger part of the good text (_marked), the blocks outside
+them are dropped; else these parts count as any other. Pass two gives ambiguous blocks the label of the nearest decided neighbours in the same container;
 where these differ, the nearer wins, at equal distance the one that reads on (before).
 
 Defined results: a null or empty page, or one without main text, gives an empty string; unclosed tags, comments and
@@ -68,12 +69,12 @@ def _unwanted(name: str, attributes: str) -> tuple[bool, set[str]]:
 
 
 class Block:
-    __slots__ = ("parts", "linked", "container", "heading", "text", "label", "named")
+    __slots__ = ("parts", "linked", "container", "heading", "text", "label", "named", "title")
 
     def __init__(self, container: int, heading: bool, named: tuple["Named", ...]):
         self.parts: list[str] = []
         self.linked, self.container, self.heading, self.named = 0, container, heading, named
-        self.text, self.label = "", ""
+        self.text, self.label, self.title = "", "", False
 
 
 class Named:
@@ -98,6 +99,7 @@ def blocks_of(page: str) -> list[Block]:
             return
         if block is None:
             block = Block(current[-1], any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]), tuple(named))
+            block.title = any(x[0] == "h1" for x in stack[-2:])
             out.append(block)
         block.parts.append(raw)
         if links:
@@ -224,6 +226,20 @@ def _spared(found: list[Block]) -> list[Block]:
             return [b for b, e in zip(found, left) if e is None]
 
 
+def _marked(found: list[Block]) -> bool:
+    """Whether the article and main parts are the page's text: they hold at least half of the good text, or the page's
+    only h1 and at least as many blocks as there are good ones outside."""
+    if all(b.container for b in found):
+        return True
+    good = [b for b in found if _first_pass(b) == "good"]
+    outside = [b for b in good if not b.container]
+    if 2 * sum(len(b.text) for b in outside) <= sum(len(b.text) for b in good):
+        return True
+    if not any(b.title and b.container for b in found) or any(b.title and not b.container for b in found):
+        return False
+    return sum(bool(b.container) for b in found) >= len(outside)
+
+
 def main_text(page: str | None) -> str:
     found = []
     for b in blocks_of(page or ""):
@@ -232,7 +248,11 @@ def main_text(page: str | None) -> str:
             found.append(b)
     found = _spared(found)
     if any(b.container for b in found):
-        found = [b for b in found if b.container]
+        if _marked(found):
+            found = [b for b in found if b.container]
+        else:
+            for b in found:
+                b.container = 0
     labels = [_first_pass(b) for b in found]
     decided = [i for i, x in enumerate(labels) if x in ("good", "bad")]
     before, last = [None] * len(found), None

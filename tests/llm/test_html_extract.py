@@ -27,3 +27,20 @@ TEXT = LONG.strip()
 )
 def test_wrappers_and_attributes(page, want):
     assert html_extract.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=post><p>{LONG}</p><p>{LONG}</p></div>" + "<article><h3><a href=x>A card</a></h3><p><a href=x>Read the card</a></p></article>" * 3, TEXT + "\n\n" + TEXT),
+        (f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><article><p>{LONG}</p></article>", "\n\n".join([TEXT] * 4)),
+        (f"<p>{LONG}</p><main><p>{LONG}</p><p>{LONG}</p><p>Last.</p></main>", TEXT + "\n\n" + TEXT + "\n\nLast."),
+    ],
+)
+def test_teasers_do_not_replace_the_text(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_teaser_cards_with_text():
+    cards = "<article><h3>A card</h3><p>What the card is about.</p></article>" * 3
+    assert html_extract.main_text(f"<div class=post><p>{LONG}</p><p>{LONG}</p></div>{cards}").startswith(TEXT + "\n\n" + TEXT)
