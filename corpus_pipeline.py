@@ -43,10 +43,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id."""
+    """One document of each group of near duplicates, the one of the smallest id; one row of those that share id and
+    text."""
     common.drop_written(spark)
-    keep = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept"))
-    return _columns(docs.join(keep, docs.doc_id.eqNullSafe(F.col("__kept")), "left_semi"))
+    keep = near_dedup.near_groups(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__rows"))
+    keep = common.stored(spark, keep, "kept")
+    rows = docs.withColumn("__own", F.xxhash64("text"))
+    rows = rows.join(keep, rows.doc_id.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__mark")))
+    out = _columns(rows.where("__rows = 1"))
+    repeated = rows.where("__rows > 1")
+    return out if keep.where("__rows > 1").isEmpty() else out.unionByName(_columns(repeated.dropDuplicates(["doc_id", "__own"])))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

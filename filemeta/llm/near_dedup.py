@@ -1,7 +1,7 @@
 """Near duplicates: MinHash with banding, signature verification, full-set confirmation and connected components.
 
 1. Each text becomes its set of hashed word shingles (64 bits). Texts with equal sets form a class, and only a
-   class's smallest id goes on, so copies cost one row.
+   class's first row, by id and a hash of the text, goes on, so copies cost one row. A class is known by a hash of its set.
 2. HASHES universal hash minima are cut in bands of as many rows as keep the chance to miss a pair at the threshold
    under MISS. Classes that share a band's key are candidates.
 3. Rounds of stars: in each bucket that still holds several components, members are paired with one pivot, at most
@@ -13,8 +13,8 @@
 Every pair that shares a band is thus either linked by a path of confirmed links or compared; none is capped away.
 
 Defined results: a null or empty text, or one without words, has no shingles (0) and is linked with nothing; one
-with fewer words than a shingle has the whole sequence as its one shingle; repeated rows are copies of each other; a
-null doc_id counts as the smallest id and is returned as null; an empty table gives an empty table; only the id and
+with fewer words than a shingle has the whole sequence as its one shingle; rows with the same id and text are one
+document, kept or not together; rows that share an id but differ in text are documents of their own; a null doc_id counts as the smallest id and is returned as null; an empty table gives an empty table; only the id and
 text columns are read, so others cannot clash.
 """
 
@@ -139,9 +139,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig (a byte of each minimum) and bands of each text; nulls where the set is empty."""
+    """doc_id, mark, n_shingles, set_key, sig (a byte of each minimum) and bands of each text; nulls where the set is
+    empty."""
     rows = band_rows(percent)
-    schema = "doc_id long, n_shingles long, set_key binary, sig binary, bands array<long>"
+    schema = "doc_id long, mark long, n_shingles long, set_key binary, sig binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -160,7 +161,7 @@ def sketch(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 every = band_keys(low, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * every.shape[1]), pa.array(every.reshape(-1)))
                 sigs = pa.array([x.tobytes() for x in short], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), sigs.take(mine), lists.take(mine)], names=["doc_id", "n_shingles", "set_key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), sigs.take(mine), lists.take(mine)], names=["doc_id", "mark", "n_shingles", "set_key", "sig", "bands"])
 
     return docs.mapInArrow(run, schema)
 
@@ -171,7 +172,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [x.tobytes() for x in shingle_sets(b.column("text"), size)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(found, pa.binary())], names=["rep", "items"])
 
     return docs.mapInArrow(run, "rep long, items binary")
 
@@ -248,19 +249,25 @@ def compare_blocks(rest: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+    """doc_id, n_shingles, component_id and kept of each row; of a component, the rows of one id and text are kept."""
+    return near_groups(docs, size, percent, doc_id, text).drop("mark")
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_duplicates() with mark, the text's xxhash64: doc_id and mark are a row's key."""
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
     known = common.stored(spark, sketch(docs, size, percent), "sketch")
-    classes = known.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = known.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("rep", F.xxhash64("set_key"))
     classes = common.stored(spark, classes, "classes")
 
     buckets = classes.select("rep", F.explode("bands").alias("key"))
     shared = common.stored(spark, buckets.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key"), "keys")
     multi = common.stored(spark, buckets.join(shared, "key").select("key", "rep"), "buckets")
     members = common.stored(spark, multi.select("rep").distinct(), "members")
-    items = full_sets(docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), size)
+    rows = classes.join(members, "rep", "left_semi").select("rep", "low.doc_id", "low.mark")
+    items = full_sets(docs.join(rows, ["doc_id", "mark"]).select("rep", "text"), size)
     sets = common.stored(spark, items.join(classes.select("rep", "sig"), "rep"), "sets")
 
     comps, tested = members.select("rep", F.col("rep").alias("comp")), None
@@ -300,13 +307,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         if not links.isEmpty():
             comps = _merged(spark, comps, links)
 
-    named = known.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    found = named.join(comps, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    # A component's first row, by id and text; a class or row of no component is its own.
+    first = comps.join(classes.select("rep", "low"), "rep").groupBy("comp").agg(F.min("low").alias("first"))
+    heads = classes.select("set_key", "rep", "low").join(comps.join(first, "comp").select("rep", "first"), "rep", "left").select("set_key", F.coalesce("first", "low").alias("head"))
+    own = F.struct("doc_id", "mark")
+    found = known.select("doc_id", "mark", "n_shingles", "set_key").join(heads, "set_key", "left").select("doc_id", "mark", "n_shingles", own.alias("own"), F.coalesce("head", own).alias("head"))
     null = F.lit(None).cast("long")
     return found.select(
-        F.when(F.col("doc_id") == NULL_ID, null).otherwise(F.col("doc_id")).alias("doc_id"), "n_shingles",
-        F.when(F.col("component_id") == NULL_ID, null).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("doc_id") == F.col("component_id")).alias("kept"),
+        F.when(F.col("doc_id") == NULL_ID, null).otherwise(F.col("doc_id")).alias("doc_id"), "mark", "n_shingles",
+        F.when(F.col("head.doc_id") == NULL_ID, null).otherwise(F.col("head.doc_id")).alias("component_id"),
+        (F.col("own") == F.col("head")).alias("kept"),
     )
 
 
