@@ -218,12 +218,17 @@ def _group(values: list[bytes | None]) -> Iterator[tuple[int, np.ndarray] | None
 
 
 def pcm_pieces(rate: int, pcm: np.ndarray, to_rate: int) -> Iterator[np.ndarray]:
-    """Resampled samples, in pieces of bounded size cut at multiples of whole periods."""
+    """Resampled samples, in pieces of bounded size cut at multiples of whole periods. Each piece is computed with the
+    samples beside it that the filter reaches, so the pieces together are the whole signal's resample."""
     g = np.gcd(rate, to_rate)
     up, down = int(to_rate // g), int(rate // g)
     step = CHUNK // down * down or down
+    # Whole periods of at least the filter's width.
+    beside = -(-_taps(up, down).shape[1] // down) * down if up != down else 0
     for i in range(0, len(pcm), step):
-        yield resample(pcm[i : i + step], up, down)
+        lo, end = max(0, i - beside), min(len(pcm), i + step)
+        first = (i - lo) * up // down
+        yield resample(pcm[lo : end + beside], up, down)[first : first + -(-(end - i) * up // down)]
 
 
 def feature(rate: int, pcm: np.ndarray, to_rate: int) -> str:
