@@ -229,10 +229,25 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, kind: str, bounds: list[in
     return dealt.repartition(ranges, "range").sortWithinPartitions("range", "doc_id").mapInArrow(gather, block)
 
 
-def read_blocks(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Decoded documents: range, block, doc_id, before (tokens before it in its block), n_tokens, ids_crc32 and
+def write_codes(spark, lengths: np.ndarray) -> DataFrame:
+    """The code table: id and length of each id that has a code."""
+    used = np.flatnonzero(lengths)
+    return spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist())), "id int, length int")
+
+
+def read_codes(codes: DataFrame) -> np.ndarray:
+    """Code lengths by id, from the code table; the driver gets a row per id of the vocabulary."""
+    rows = codes.toPandas()
+    ids = rows["id"].to_numpy(np.int64)
+    lengths = np.zeros(int(ids.max(initial=-1)) + 1, np.uint8)
+    lengths[ids] = rows["length"].to_numpy(np.uint8)
+    return lengths
+
+
+def read_blocks(blocks: DataFrame, codes: DataFrame) -> DataFrame:
+    """Decoded documents, from the block table and the code table alone: range, block, doc_id, before (tokens before it in its block), n_tokens, ids_crc32 and
     ids, as little-endian unsigned 32-bit integers."""
-    known = blocks.sparkSession.sparkContext.broadcast(lengths)
+    known = blocks.sparkSession.sparkContext.broadcast(read_codes(codes))
     schema = "range int, block int, doc_id long, before long, n_tokens long, ids_crc32 long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +291,7 @@ def op9_token_files(spark, sf_dir: str, path: str | None = None, end_id: int = 1
     kind = "<u2" if size <= 1 << 16 else "<u4"
     lengths = code_lengths(global_counts(stored, size), max(LIMIT, int(np.ceil(np.log2(size)))))
     blocks = common.stored(spark, write_blocks(ids, lengths, kind, common.bounds_of(ids, "doc_id", 4 * ranges), ranges), "blocks")
-    found = read_blocks(blocks, lengths).drop("ids")
+    codes = common.stored(spark, write_codes(spark, lengths), "codes")
+    found = read_blocks(blocks, codes).drop("ids")
     starts = block_starts(blocks.select("range", "block", "total"))
     return found.join(starts, ["range", "block"]).select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
