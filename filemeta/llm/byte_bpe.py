@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Bytes of a leaf that is merged directly.
-LEAF = 24
+#: Bytes of a leaf that is merged directly; longer pieces go through halves and joins.
+LEAF = 2
 #: Chunks a worker keeps; beyond, only the short ones stay, which are the frequent ones.
 CACHE, SHORT = 600_000, 8
 NO_RANK = 1 << 60
