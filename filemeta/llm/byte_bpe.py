@@ -6,11 +6,12 @@ with the window's edge tokens, where tokens a and b are compatible if merging th
 whose adjacent tokens are all compatible is the sequence that merging the whole piece gives, so nothing further out
 can change: join is exact, and associative on encodings, and the empty piece is its unit.
 
-Texts are first cut by the vocabulary's pattern, each match on its own. Encoded chunks (a run without white space and the
-blank before it) are cached by a worker up to a bound.
+Texts are first cut by the vocabulary's pattern, each match on its own. A match that is itself in the vocabulary is
+that token, as in the tiktoken library. Encoded halves of words and chunks (a run without white space and the blank
+before it; for a pattern other than PATTERN, a match) are kept by a worker up to a bound.
 
 Defined results: a null or empty text has no tokens; lone surrogates cannot occur in Spark strings; repeated rows,
-ties and empty tables need no special case; other columns pass through.
+ties and empty tables need no special case; other columns pass through, and one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ from . import common
 
 #: Bytes of a leaf that is merged directly; longer pieces go through halves and joins.
 LEAF = 2
+#: Halves up to so many bytes recur in many words, so that their encodings are kept, up to a number of them.
+PART, PARTS = 8, 200_000
 #: Chunks a worker keeps; beyond, only the short ones stay, which are the frequent ones.
 CACHE, SHORT = 600_000, 8
 NO_RANK = 1 << 60
 #: Leaves of the decoding tree have so many ids.
 DECODE_LEAF = 4096
+# Fixed value: the pattern that public byte-level vocabularies of about 50,000 entries were made with. Its matches
+# never look across white space, so that texts of it can be cut in chunks first; for others every match is kept.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Fixed values (SPACE): Unicode's White_Space property.
 #: ASCII punctuation that the pattern cuts off behind a letter: no apostrophe, which begins a contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -52,8 +58,10 @@ class ByteBPE:
         for k, v in self.ranks.items():
             self.bytes_of[v] = k
         self.match = regex.compile(pattern)
+        self.by_chunk = pattern == PATTERN
         self.cache: dict[str, bytes] = {}
-        self.compatible = lru_cache(200_000)(self._compatible)
+        self.parts: dict[bytes, list[bytes]] = {}
+        self.pair = lru_cache(200_000)(self._pair)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "ByteBPE":
@@ -74,34 +82,49 @@ class ByteBPE:
                 scores[i] = get(piece[cuts[i] : cuts[i + 2]], NO_RANK)
         return [piece[i:j] for i, j in zip(cuts, cuts[1:])]
 
-    def _compatible(self, a: bytes, b: bytes) -> bool:
-        return self.merge(a + b) == [a, b]
+    def _pair(self, a: bytes, b: bytes) -> list[bytes]:
+        """What merging the bytes of two tokens gives."""
+        return self.merge(a + b)
+
+    def compatible(self, a: bytes, b: bytes) -> bool:
+        return len(found := self.pair(a, b)) == 2 and found[0] == a
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """The encoding of the concatenated bytes of two encodings."""
         if not left or not right:
             return left or right
-        width = 1
+        width, found = 1, self.pair(left[-1], right[0])
         while True:
             lo, hi = max(0, len(left) - width), min(len(right), width)
-            window = b"".join(left[lo:]) + b"".join(right[:hi])
-            found = self.merge(window)
             if (lo == 0 or self.compatible(left[lo - 1], found[0])) and (hi == len(right) or self.compatible(found[-1], right[hi])):
                 return left[:lo] + found + right[hi:]
             width *= 2
+            found = self.merge(b"".join(left[-width:]) + b"".join(right[:width]))
 
     def encode_piece(self, piece: bytes) -> list[bytes]:
-        """Tree reduction, bottom up: leaves, then rounds that join neighbours."""
-        if piece in self.ranks:
-            return [piece]
-        level = [self.merge(x) for x in _halves(piece)]
-        while len(level) > 1:
-            level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
+        """The piece itself where the vocabulary has it, as the library has it, else by tree reduction."""
+        return [piece] if piece in self.ranks else self.reduce(piece)
+
+    def reduce(self, piece: bytes) -> list[bytes]:
+        """Encode the halves, then join them."""
+        n = len(piece)
+        if n <= LEAF:
+            return self.merge(piece) if piece else []
+        if n > PART:
+            return self.join(self.reduce(piece[: n // 2]), self.reduce(piece[n // 2 :]))
+        found = self.parts.get(piece)
+        if found is None:
+            found = self.join(self.reduce(piece[: n // 2]), self.reduce(piece[n // 2 :]))
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            self.parts[piece] = found
+        return found
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        return np.array([self.ranks[t] for m in pieces for t in self.encode_piece(m.encode())], "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = [self.ranks[t] for m in self.match.findall(chunk) for t in self.encode_piece(m.encode())]
-        return np.array(ids, "<u4").tobytes()
+        return self._ids(self.match.findall(chunk))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -109,7 +132,12 @@ class ByteBPE:
             self.cache = {c: v for c, v in self.cache.items() if len(c) <= SHORT}
             if len(self.cache) > CACHE // 2:
                 self.cache = {}
-        cache, chunks = self.cache, _CHUNK.findall(text)
+        cache = self.cache
+        if not self.by_chunk:
+            pieces = [m.group() for m in self.match.finditer(text)]
+            cache.update((p, self._ids([p])) for p in set(pieces).difference(cache))
+            return b"".join(map(cache.__getitem__, pieces))
+        chunks = _CHUNK.findall(text)
         for c in set(chunks):
             if c not in cache:
                 word = c.rstrip(TAIL)
@@ -128,13 +156,6 @@ class ByteBPE:
         return level[0] if level else b""
 
 
-def _halves(piece: bytes) -> list[bytes]:
-    if len(piece) <= LEAF:
-        return [piece] if piece else []
-    mid = len(piece) // 2
-    return _halves(piece[:mid]) + _halves(piece[mid:])
-
-
 def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add each text's ids as a binary column of little-endian unsigned 32-bit integers, in place of the text."""
     keep = [f for f in df.schema.fields if f.name not in (text, ids)]
