@@ -32,11 +32,14 @@ from . import common
 
 #: Bytes of a leaf that is merged directly; longer pieces go through halves and joins.
 LEAF = 2
-#: Halves up to so many bytes recur in many words, so that their encodings are kept, up to a number of them.
-PART, PARTS = 8, 200_000
+#: Halves up to so many bytes recur in many words, so that their encodings are kept, as are merges of two tokens, up to
+#: numbers of them.
+PART, PARTS, PAIRS = 8, 80_000, 40_000
 #: Chunks a worker keeps; beyond, only the short ones stay, which are the frequent ones.
-CACHE, SHORT = 600_000, 8
+CACHE, SHORT = 300_000, 8
 NO_RANK = 1 << 60
+#: Rows of text that are encoded, or decoded, before they go out.
+ROWS = 1000
 #: Leaves of the decoding tree have so many ids.
 DECODE_LEAF = 4096
 # Fixed value: the pattern that public byte-level vocabularies of about 50,000 entries were made with. Its matches
@@ -61,7 +64,7 @@ class ByteBPE:
         self.by_chunk = pattern == PATTERN
         self.cache: dict[str, bytes] = {}
         self.parts: dict[bytes, list[bytes]] = {}
-        self.pair = lru_cache(200_000)(self._pair)
+        self.pair = lru_cache(PAIRS)(self._pair)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "ByteBPE":
@@ -156,13 +159,19 @@ class ByteBPE:
         return level[0] if level else b""
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def encode_table(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add each text's ids as a binary column of little-endian unsigned 32-bit integers, in place of the text."""
     keep = [f for f in df.schema.fields if f.name not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.of(path, pattern)
-        for b in batches:
+        for b in _slices(batches):
             out = pa.array([bpe.encode(s.as_py() or "") for s in b.column(text)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), out], names=[*(f.name for f in keep), ids])
 
@@ -175,7 +184,7 @@ def decode_table(df: DataFrame, path: str, pattern: str, ids: str = "ids", data:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.of(path, pattern)
-        for b in batches:
+        for b in _slices(batches):
             out = pa.array([None if v is None else bpe.decode(np.frombuffer(v, "<u4")) for v in (s.as_py() for s in b.column(ids))], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), out], names=[*(f.name for f in keep), data])
 
