@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from . import common
 LEAF = 2
 #: Halves up to so many bytes recur in many words, so that their encodings are kept, as are merges of two tokens, up to
 #: numbers of them.
-PART, PARTS, PAIRS = 8, 80_000, 40_000
-#: Chunks a worker keeps; beyond, only the short ones stay, which are the frequent ones.
-CACHE, SHORT = 300_000, 8
+PART, PARTS, PAIRS = 6, 120_000, 40_000
+#: Chunks a worker keeps twice over: with so many new ones, those not met since the last so many go.
+CACHE = 200_000
 NO_RANK = 1 << 60
 #: Rows of text that are encoded, or decoded, before they go out.
 ROWS = 1000
@@ -63,6 +64,7 @@ class ByteBPE:
         self.match = regex.compile(pattern)
         self.by_chunk = pattern == PATTERN
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.parts: dict[bytes, list[bytes]] = {}
         self.pair = lru_cache(PAIRS)(self._pair)
 
@@ -124,7 +126,8 @@ class ByteBPE:
         return found
 
     def _ids(self, pieces: list[str]) -> bytes:
-        return np.array([self.ranks[t] for m in pieces for t in self.encode_piece(m.encode())], "<u4").tobytes()
+        ids = [self.ranks[t] for m in pieces for t in self.encode_piece(m.encode())]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         return self._ids(self.match.findall(chunk))
@@ -132,22 +135,25 @@ class ByteBPE:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.cache) > CACHE:
-            self.cache = {c: v for c, v in self.cache.items() if len(c) <= SHORT}
-            if len(self.cache) > CACHE // 2:
-                self.cache = {}
-        cache = self.cache
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
         if not self.by_chunk:
             pieces = [m.group() for m in self.match.finditer(text)]
-            cache.update((p, self._ids([p])) for p in set(pieces).difference(cache))
+            for p in set(pieces).difference(cache):
+                cache[p] = old.get(p) or self._ids([p])
             return b"".join(map(cache.__getitem__, pieces))
         chunks = _CHUNK.findall(text)
-        for c in set(chunks):
-            if c not in cache:
+        for c in set(chunks).difference(cache):
+            found = old.get(c)
+            if found is None:
                 word = c.rstrip(TAIL)
                 if word and word != c and ("a" <= word[-1] <= "z" or "A" <= word[-1] <= "Z"):
-                    cache[c] = b"".join(cache.get(x) or cache.setdefault(x, self._chunk(x)) for x in (word, c[len(word) :]))
+                    if (first := cache.get(word) or old.get(word)) is None:
+                        first = cache[word] = self._chunk(word)
+                    found = first + self._chunk(c[len(word) :])
                 else:
-                    cache[c] = self._chunk(c)
+                    found = self._chunk(c)
+            cache[c] = found
         return b"".join(map(cache.__getitem__, chunks))
 
     def decode(self, ids: np.ndarray) -> bytes:
