@@ -20,7 +20,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -35,7 +34,7 @@ from . import common
 LEAF = 2
 #: Halves up to so many bytes recur in many words, so that their encodings are kept, as are merges of two tokens, up to
 #: numbers of them.
-PART, PARTS, PAIRS = 6, 120_000, 40_000
+PART, PARTS, PAIRS = 6, 120_000, 150_000
 #: Chunks a worker keeps twice over: with so many new ones, those not met since the last so many go.
 CACHE = 200_000
 NO_RANK = 1 << 60
@@ -65,8 +64,8 @@ class ByteBPE:
         self.by_chunk = pattern == PATTERN
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.parts: dict[bytes, list[bytes]] = {}
-        self.pair = lru_cache(PAIRS)(self._pair)
+        self.parts: dict[bytes, list[int]] = {}
+        self.pairs: dict[int, list[int] | None] = {}
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "ByteBPE":
@@ -74,7 +73,7 @@ class ByteBPE:
             _LOADED[path, pattern] = cls(path, pattern)
         return _LOADED[path, pattern]
 
-    def merge(self, piece: bytes) -> list[bytes]:
+    def merge(self, piece: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, the leftmost of ties, until none is in the vocabulary."""
         get, cuts = self.ranks.get, list(range(len(piece) + 1))
         scores = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
@@ -85,32 +84,37 @@ class ByteBPE:
                 scores[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], NO_RANK)
             if i < len(scores):
                 scores[i] = get(piece[cuts[i] : cuts[i + 2]], NO_RANK)
-        return [piece[i:j] for i, j in zip(cuts, cuts[1:])]
-
-    def _pair(self, a: bytes, b: bytes) -> list[bytes]:
-        """What merging the bytes of two tokens gives."""
-        return self.merge(a + b)
-
-    def compatible(self, a: bytes, b: bytes) -> bool:
-        return len(found := self.pair(a, b)) == 2 and found[0] == a
-
-    def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
+        return [self.ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:])]
+
+    def pair(self, a: int, b: int) -> list[int] | None:
+        """What merging the bytes of two tokens gives; None if they are compatible."""
+        key = a << 32 | b
+        if key in self.pairs:
+            return self.pairs[key]
+        found = self.merge(self.bytes_of[a] + self.bytes_of[b])
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = None if found == [a, b] else found
+        return self.pairs[key]
+
+    def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the concatenated bytes of two encodings."""
-        if not left or not right:
-            return left or right
-        width, found = 1, self.pair(left[-1], right[0])
+        if not left or not right or (found := self.pair(left[-1], right[0])) is None:
+            return left + right
+        width = 1
         while True:
             lo, hi = max(0, len(left) - width), min(len(right), width)
-            if (lo == 0 or self.compatible(left[lo - 1], found[0])) and (hi == len(right) or self.compatible(found[-1], right[hi])):
+            if (lo == 0 or self.pair(left[lo - 1], found[0]) is None) and (hi == len(right) or self.pair(found[-1], right[hi]) is None):
                 return left[:lo] + found + right[hi:]
             width *= 2
-            found = self.merge(b"".join(left[-width:]) + b"".join(right[:width]))
+            found = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-width:] + right[:width])))
 
-    def encode_piece(self, piece: bytes) -> list[bytes]:
+    def encode_piece(self, piece: bytes) -> list[int]:
         """The piece itself where the vocabulary has it, as the library has it, else by tree reduction."""
-        return [piece] if piece in self.ranks else self.reduce(piece)
+        rank = self.ranks.get(piece)
+        return self.reduce(piece) if rank is None else [rank]
 
-    def reduce(self, piece: bytes) -> list[bytes]:
+    def reduce(self, piece: bytes) -> list[int]:
         """Encode the halves, then join them."""
         n = len(piece)
         if n <= LEAF:
@@ -126,7 +130,7 @@ class ByteBPE:
         return found
 
     def _ids(self, pieces: list[str]) -> bytes:
-        ids = [self.ranks[t] for m in pieces for t in self.encode_piece(m.encode())]
+        ids = [t for m in pieces for t in self.encode_piece(m.encode())]
         return pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
