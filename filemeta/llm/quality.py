@@ -1,23 +1,23 @@
 """Quality classifier: naive Bayes features in a support vector machine.
 
-A text becomes the set of the hashed four- and three-byte windows that it has (indicators; case and punctuation kept,
-digits alike), and of two word n-grams up to naming: a word three and four times in a row. Each is scaled by the log ratio of its smoothed frequencies in the two classes; a text's vector is scaled to length 1;
-a linear model with hinge loss is fitted by dual coordinate descent. The margin becomes a probability by a logistic
-curve fitted on a part kept out of training.
+A text becomes the set of hashed n-grams that it has (indicators): windows of three and four bytes, with case and
+punctuation kept and digits alike; and windows of eight character classes (small letter, capital, digit, each other
+byte for itself). Each is scaled by the log ratio of its smoothed frequencies in the two classes; a text's vector is
+scaled to length 1; a linear model with hinge loss is fitted by dual coordinate descent, each dual variable held between 0 and
+its row's cost. The margin becomes a probability by a logistic curve fitted on a part kept out of training.
 
-Fitting uses a bounded sample (TRAIN_DOCS labelled rows, shared evenly by the classes); a few lines of each good text are
-added as texts of their own, so that short texts are known; weights undo that share when
+Fitting uses a bounded sample (TRAIN_DOCS labelled rows, shared evenly by the classes); weights undo that share when
 the probability is fitted. Scoring is a sum over a table of bounded size.
 
-Defined results: a null or empty text has no windows and gets the score of the bias alone; ties and repeated rows score alike; with labels of
-one class only, every score is that class's; without labels every score is 0.5; an empty table gives an empty table.
+Defined results: a null or empty text has no windows and gets the score of the bias alone; ties and repeated rows
+score alike; with labels of one class only, every score is that class's; without labels every score is 0.5; an empty
+table gives an empty table; columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,41 +28,41 @@ from pyspark.sql import types as T
 from . import common
 from .langid import held_out
 
-BUCKETS = 1 << 16
+#: Buckets of byte windows, and of both kinds: class windows come behind them.
+BYTES, BUCKETS = 1 << 16, 1 << 17
 #: Bound on the labelled rows the model is fitted on.
 TRAIN_DOCS = 4000
 #: A score from which a text counts as good.
 GOOD = 0.7
 CHUNK = 1 << 20
 _FOLD = bytes(48 if 48 <= c <= 57 else c for c in range(256))
+# Classes: small letters and parts of letters beyond ASCII are a, capitals A, digits 0.
+_CLASS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+WIDE = 8
 
 
 def indicators(text: str | None) -> np.ndarray:
     """Buckets that have a window of the text, ascending."""
-    data = b" " + (text or "").encode().translate(_FOLD) + b" "
+    raw = b" " + (text or "").encode() + b" "
     seen = np.zeros(BUCKETS, bool)
-    if len(data) == 2:
+    if len(raw) == 2:
         return np.zeros(0, np.int64)
-    data += b"\0\0"
+    data = raw.translate(_FOLD) + b"\0\0"
     for lo in range(0, len(data) - 3, CHUNK):
         n = min(CHUNK, len(data) - 3 - lo)
         for k in range(4):
             w = np.frombuffer(data, "<u4", max(0, (n - k + 3) // 4), lo + k)
             seen[w * np.uint32(2654435761) >> np.uint32(16)] = True
             seen[(w & np.uint32(0xFFFFFF)) * np.uint32(2246822519) >> np.uint32(16)] = True
-    words = data.split()
-    same = bytes(map(eq, words, words[1:]))
-    seen[:2] = b"\1\1" in same, b"\1\1\1" in same
+    data = raw.translate(_CLASS) + b"\0" * WIDE
+    for lo in range(0, len(raw), CHUNK):
+        n = min(CHUNK, len(raw) - lo)
+        for k in range(min(n, WIDE)):
+            w = np.frombuffer(data, "<u8", (n - k + WIDE - 1) // WIDE, lo + k)
+            seen[(w * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) + np.uint64(BYTES)] = True
     return np.flatnonzero(seen)
 
 
-def _lines(text: str, rng: np.random.Generator) -> str:
-    lines = text.split("\n")
-    n = int(rng.integers(1, 4))
-    at = int(rng.integers(0, max(1, len(lines) - n + 1)))
-    return "\n".join(lines[at : at + n])
-
-
 @dataclass
 class Model:
     ratio: np.ndarray
@@ -86,23 +86,22 @@ def _flat(p: float) -> Model:
     return Model(none, none, 0.0, 0.0, float(np.log(p / (1 - p))))
 
 
-def hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise half the squared weights plus cost times the squared hinge loss, by dual
-    coordinate descent; the bias is the weight of a constant feature."""
+def hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise half the squared weights plus cost times the hinge loss, by dual coordinate
+    descent; the bias is the weight of a constant feature."""
     values = []
     for at in rows:
         f = ratio[at]
         values.append(f / max(1e-12, float(np.sqrt(f @ f))))
-    w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
-    diag = 0.5 / cost
-    norm = np.array([float(v @ v) + 1.0 for v in values]) + diag
+    w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
+    norm = np.array([float(v @ v) + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
             at, v = rows[i], values[i]
-            g = y[i] * (float(v @ w[at]) + bias) - 1 + diag[i] * alpha[i]
-            new = max(0.0, alpha[i] - g / norm[i])
+            g = y[i] * (float(v @ w[at]) + bias) - 1
+            new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
                 w[at] += step * v
                 bias += step
@@ -141,12 +140,9 @@ def train(texts: list[str], labels: list[int], share: dict[int, float] | None =
         known[:] = True
     count = {s: np.bincount(np.concatenate([r for r, k, v in zip(rows, known, y) if k and v == s]), minlength=BUCKETS) + 1.0 for s in (1, -1)}
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[-1] / count[-1].sum())
-    rng = np.random.default_rng(11)
-    short = [indicators(_lines(texts[i] or "", rng)) for i in np.flatnonzero(known & (y > 0)) for _ in range(2)]
-    apart = np.flatnonzero(~known) if not known.all() else np.arange(len(y))
-    rows, all_y, some = rows + short, np.concatenate([y, np.ones(len(short), int)]), np.concatenate([np.flatnonzero(known), len(y) + np.arange(len(short))])
-    balance = np.where(all_y[some] > 0, 0.5 / (all_y[some] > 0).mean(), 0.5 / (all_y[some] < 0).mean())
-    w, bias = hinge([rows[i] for i in some], all_y[some], ratio, cost * balance)
+    apart, some = np.flatnonzero(~known) if not known.all() else np.arange(len(y)), np.flatnonzero(known)
+    balance = np.where(y[some] > 0, 0.5 / (y[some] > 0).mean(), 0.5 / (y[some] < 0).mean())
+    w, bias = hinge([rows[i] for i in some], y[some], ratio, cost * balance)
     model = Model(ratio, w, bias, 1.0, 0.0)
     margin = np.array([model.margin(rows[i]) for i in apart])
     back = np.array([1 / (share or {}).get(int(labels[i] > 0), 1.0) for i in apart])
