@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import os
-import shutil
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders written in this session that a later pipeline stage may delete: application id -> paths.
-_WRITTEN: dict[str, list[str]] = {}
+#: Lists that take the paths of tables as stored() writes them, the innermost last.
+_NOTES: ContextVar[tuple[list[str], ...]] = ContextVar("notes", default=())
 _SHIPPED: set[str] = set()
 
 
@@ -39,9 +40,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of our own."""
+    """spark.checkpoint.dir of the session. Only where it is unset and all runs in one process on one machine, as in
+    tests, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="filemeta-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -51,22 +55,29 @@ def stored(spark: SparkSession, df: DataFrame, name: str, compression: str = "zs
     """Write df as a table in the shared folder and read it back: cuts lineage, outlives executors."""
     path = f"{shared_dir(spark)}/filemeta-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A pipeline stage's result, written and read again; drop_written() leaves it."""
-    path = f"{shared_dir(spark)}/filemeta-stage-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Delete the tables that stored() wrote so far in this application; call only when their results are written."""
+    for paths in _NOTES.get():
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """Gives a list of the paths that stored() writes within."""
+    paths: list[str] = []
+    token = _NOTES.set((*_NOTES.get(), paths))
+    try:
+        yield paths
+    finally:
+        _NOTES.reset(token)
+
+
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables that stored() wrote, given as such or by path, once no result that needs them is read again."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
+    for t in tables:
+        p = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.stored_at)
         p.getFileSystem(conf).delete(p, True)
 
 
@@ -81,15 +92,9 @@ def bounds_of(df: DataFrame, key: str, n: int) -> list[int]:
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are <= key: range 0 holds what lies before the first bound."""
-    cut = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def find(s: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cut, s.to_numpy(), side="right").astype(np.int32))
-
-    return find(key) if bounds else F.lit(0)
-
-
-def clean_local(path: str) -> None:
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    """Number of ascending bounds that are <= key, by a binary search: range 0 holds what lies before the first."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    cut = F.array(*(F.lit(b).cast("long") for b in bounds))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(cut, at + step - 1) <= key, at + step).otherwise(at))

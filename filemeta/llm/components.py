@@ -19,16 +19,20 @@ def _state(edges: DataFrame) -> tuple:
 
 def connected_components(spark, links: DataFrame) -> DataFrame:
     """links(u long, v long) to (node, component): each node that has a link to another, and the smallest node of
-    its component. Self links are ignored, repeated ones count once; no link gives no row."""
+    its component. Self links are ignored, repeated ones count once; no link gives no row. A round's tables go when
+    the next round has its own."""
     edges = common.stored(spark, links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_lowest(spark, both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        high = _lowest(spark, both)
+        large = both.join(high, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.stored(spark, large, "links")
+        common.drop(spark, edges, high)
         low = _lowest(spark, large)  # every row has v < u
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.stored(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        common.drop(spark, large, low)
         after = _state(edges)
         if after == before:
             break

@@ -1,16 +1,16 @@
 """Document fingerprints: a homomorphic hash of the multiset of paragraphs.
 
 A paragraph (a line that is not empty) is hashed to a wide vector; a text's fingerprint is the sum of its paragraphs'
-vectors, dense lanes modulo 2^16 and sketch lanes modulo 2^32. So the order of paragraphs does not matter, and a paragraph is inserted or deleted by
-adding or subtracting its vector. A vector has two parts:
+vectors, dense lanes modulo 2^64 and sketch lanes modulo 2^32. So the order of paragraphs does not matter, and a
+paragraph is inserted or deleted by adding or subtracting its vector. A vector has two parts:
 
-  DENSE lanes    a 256-bit hash of the paragraph; texts with the same multiset agree, others do not
+  DENSE lanes    a 512-bit hash of the paragraph; texts with the same multiset agree, others do not
   SKETCH lanes   +1 or -1 for each window of eight bytes of the paragraph (zero bytes behind its end), at a lane and
                  with a sign that the window's hash gives; the cosine of two texts' lanes, read as signed numbers,
                  estimates the cosine of their window counts, which is their likeness; a text has under 2^31
                  bytes, so no lane of it changes its sign
 
-A vector is an array of 16-bit words: the dense lanes, the upper halves of the sketch lanes, their lower halves.
+A fingerprint is base64 of these lanes in a row, little-endian.
 
 Defined results: a null or empty text has the zero vector, like to itself (1.0) and to no other (0.0); repeated rows
 agree; long texts are hashed whole. A null doc_id comes first in the order of ids.
@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-HASH, SKETCH = 16, 240
-#: Words before the lower halves of the sketch lanes: dense lanes and upper halves.
-DENSE = HASH + SKETCH
-LANES = DENSE + SKETCH
+DENSE, SKETCH = 8, 240
+#: A vector is an array of 32-bit words: two for each dense lane, then the sketch lanes.
+HASH = 2 * DENSE
+LANES = HASH + SKETCH
 WINDOW = 8
 NULL_ID = -(1 << 63)
 # Odd 64-bit multipliers of the window hash.
@@ -46,11 +46,11 @@ CHUNK = 1 << 20
 def vector(text: str | None) -> np.ndarray:
     """The fingerprint of a text."""
     paragraphs = [p for p in (text or "").encode().split(b"\n") if p]
-    out = np.zeros(LANES, np.uint16)
+    out = np.zeros(LANES, "<u4")
     if not paragraphs:
         return out
-    digests = b"".join(hashlib.blake2b(p, digest_size=2 * HASH).digest() for p in paragraphs)
-    out[:HASH] = np.frombuffer(digests, "<u2").reshape(-1, HASH).sum(axis=0, dtype=np.uint16)
+    digests = b"".join(hashlib.blake2b(p, digest_size=8 * DENSE).digest() for p in paragraphs)
+    out[:HASH] = np.frombuffer(digests, "<u8").reshape(-1, DENSE).sum(axis=0, dtype="<u8").view("<u4")
     lanes = np.zeros(SKETCH, np.int64)
     data = _GAP.join(paragraphs) + _GAP * 2
     starts = np.frombuffer(data, np.uint8) != 0
@@ -69,31 +69,29 @@ def vector(text: str | None) -> np.ndarray:
             slot = ((h >> np.uint64(1)) * np.uint64(SKETCH) >> np.uint64(23) << np.uint64(1) | h & np.uint64(1)).astype(np.int64)
             found = np.bincount(slot, minlength=2 * SKETCH).reshape(-1, 2)
             lanes += found[:, 0] - found[:, 1]
-    return _with_sketch(out, lanes)
-
-
-def _with_sketch(v: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-    """v with these sketch lanes, modulo 2^32."""
-    v[HASH:DENSE], v[DENSE:] = (lanes >> 16 & 0xFFFF).astype(np.uint16), (lanes & 0xFFFF).astype(np.uint16)
-    return v
+    out[HASH:] = lanes & 0xFFFFFFFF
+    return out
 
 
 def sketch_of(v: np.ndarray) -> np.ndarray:
     """The sketch lanes, as signed numbers."""
-    return (v[HASH:DENSE].astype(np.uint32) << np.uint32(16) | v[DENSE:]).view(np.int32).astype(np.int64)
+    return v[HASH:].view("<i4").astype(np.int64)
 
 
 def combine(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
     """Fingerprint of the union of two multisets (sign 1), or of a without b (sign -1)."""
-    return _with_sketch(a + b if sign > 0 else a - b, sketch_of(a) + sketch_of(b) * (1 if sign > 0 else -1))
+    out = a + b if sign > 0 else a - b
+    x, y = (np.ascontiguousarray(v[:HASH]).view("<u8") for v in (a, b))
+    out[:HASH] = (x + y if sign > 0 else x - y).view("<u4")
+    return out
 
 
 def encode(v: np.ndarray) -> str:
-    return base64.b64encode(v.astype("<u2").tobytes()).decode()
+    return base64.b64encode(v.tobytes()).decode()
 
 
 def decode(s: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(s), "<u2")
+    return np.frombuffer(base64.b64decode(s), "<u4")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -8,7 +8,7 @@ ascending within a length, most significant bit first. A block is a row of the b
   docs               document ids, little-endian 64-bit
   tokens             tokens of each document, little-endian 64-bit
   starts             byte at which each document's bits begin, little-endian 64-bit
-  marks              for each document, the bit offset within its bits of every STRIDE-th token, 64-bit
+  marks              for each document, the bit offset within its bits of every STRIDE-th token, little-endian 64-bit
   bits               the documents' code bits, each document padded to a byte
 
 Blocks hold whole documents in ascending order of id, and any block can be decoded alone: lanes that start at the
@@ -37,6 +37,8 @@ from .word_tokens import ROWS, WordTokens
 STRIDE = 256
 BLOCK_TOKENS = 1 << 19
 LIMIT = 16
+#: Bits that a code may have at most, as its prefix is read from 32 bits that begin at a byte.
+LONGEST = 25
 NULL_ID = -(1 << 63)
 
 
@@ -48,8 +50,8 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     if n <= 1:
         lengths[used] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} ids do not fit codes of {limit} bits")
+    if n > 1 << limit or limit > LONGEST:
+        raise ValueError(f"{n} ids do not fit codes of {limit} bits, or these are over {LONGEST}")
     order = np.argsort(counts[used], kind="stable")
     leaf = counts[used][order].astype(np.float64)
     # Rows of each level in ascending weight: which are leaves, and after the last level how many rows are taken.
@@ -110,11 +112,12 @@ def encode_many(ids: np.ndarray, bounds: np.ndarray, codes: np.ndarray, lengths:
     cuts = np.zeros(len(bounds), np.int64)
     np.cumsum((np.diff(bits) + 7) // 8, out=cuts[1:])
     start = ends[:-1] + np.repeat(cuts[:-1] * 8 - bits[:-1], np.diff(bounds))
-    # A code of up to 16 bits that begins within a byte covers at most three bytes.
-    word, byte = codes[ids].astype(np.int64) << (24 - size - (start & 7)), start >> 3
-    out = np.zeros(int(cuts[-1]) + 3)
-    for k in range(3):
-        out += np.bincount(byte + k, (word >> (16 - 8 * k)) & 255, len(out))
+    # A code that begins within a byte covers so many bytes at most: three for codes of up to 17 bits.
+    span = (int(lengths.max(initial=1)) + 14) // 8
+    word, byte = codes[ids].astype(np.int64) << (8 * span - size - (start & 7)), start >> 3
+    out = np.zeros(int(cuts[-1]) + span)
+    for k in range(span):
+        out += np.bincount(byte + k, (word >> (8 * (span - 1 - k))) & 255, len(out))
     marks = [start[a:b:STRIDE] - 8 * c for a, b, c in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1].tolist())]
     return out[: int(cuts[-1])].astype(np.uint8).tobytes(), cuts, marks
 
@@ -201,7 +204,7 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, kind: str, bounds: list[in
                 data, cuts, marks = encode_many(_flat(part.column("ids"), kind), bounds, codes, size)
                 cuts = cuts.tolist()
                 bits = pa.array([data[i:j] for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary()), bits], names=coded.names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens), pa.array([m.astype("<i8").tobytes() for m in marks], pa.binary()), bits], names=coded.names)
 
     block = T.StructType([T.StructField("range", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("total", T.LongType())] + [T.StructField(n, T.BinaryType()) for n in ("docs", "tokens", "starts", "marks", "bits")])
 
@@ -256,7 +259,7 @@ def read_blocks(blocks: DataFrame, codes: DataFrame) -> DataFrame:
             for row in b.to_pylist():
                 docs, tokens, starts = (np.frombuffer(row[c], "<i8") for c in ("docs", "tokens", "starts"))
                 lanes = -(-tokens // STRIDE)
-                marks = np.frombuffer(row["marks"], "<u4").astype(np.int64) + np.repeat(starts * 8, lanes)
+                marks = np.frombuffer(row["marks"], "<i8") + np.repeat(starts * 8, lanes)
                 within = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
                 ids = decode_block(np.frombuffer(row["bits"], np.uint8), marks, np.minimum(STRIDE, np.repeat(tokens, lanes) - within * STRIDE), table).astype("<u4")
                 before = np.cumsum(tokens) - tokens

@@ -4,7 +4,7 @@ A text becomes the set of hashed n-grams that it has (indicators): windows of th
 punctuation kept and digits alike; and windows of eight character classes (small letter, capital, digit, each other
 byte for itself). Each is scaled by the log ratio of its smoothed frequencies in the two classes; a text's vector is
 scaled to length 1; a linear model with hinge loss is fitted by dual coordinate descent, each dual variable held between 0 and
-its row's cost. The margin becomes a probability by a logistic curve fitted on a part kept out of training.
+its row's cost. The margin becomes a probability by a logistic curve fitted on margins of rows that the model which gives them has not seen (FOLDS).
 
 Fitting uses a bounded sample (TRAIN_DOCS labelled rows, shared evenly by the classes); weights undo that share when
 the probability is fitted. Scoring is a sum over a table of bounded size.
@@ -32,6 +32,10 @@ from .langid import held_out
 BYTES, BUCKETS = 1 << 16, 1 << 17
 #: Bound on the labelled rows the model is fitted on.
 TRAIN_DOCS = 4000
+#: Added to every bucket's count of a class.
+SMOOTH = 0.3
+#: Parts of the sample, each scored by a model of the others for the probability's curve.
+FOLDS = 5
 #: A score from which a text counts as good.
 GOOD = 0.7
 CHUNK = 1 << 20
@@ -135,21 +139,31 @@ def train(texts: list[str], labels: list[int], share: dict[int, float] | None =
         return _flat(0.5 if not labels else 0.999 if labels[0] else 0.001)
     y = np.where(np.array(labels) > 0, 1, -1)
     rows = [indicators(t) for t in texts]
-    known = np.arange(len(y)) % 5 != 4 if min((y > 0).sum(), (y < 0).sum()) >= 10 else np.ones(len(y), bool)
-    if len(set(y[known])) < 2:
-        known[:] = True
-    count = {s: np.bincount(np.concatenate([r for r, k, v in zip(rows, known, y) if k and v == s]), minlength=BUCKETS) + 1.0 for s in (1, -1)}
-    ratio = np.log(count[1] / count[1].sum()) - np.log(count[-1] / count[-1].sum())
-    apart, some = np.flatnonzero(~known) if not known.all() else np.arange(len(y)), np.flatnonzero(known)
-    balance = np.where(y[some] > 0, 0.5 / (y[some] > 0).mean(), 0.5 / (y[some] < 0).mean())
-    w, bias = hinge([rows[i] for i in some], y[some], ratio, cost * balance)
-    model = Model(ratio, w, bias, 1.0, 0.0)
-    margin = np.array([model.margin(rows[i]) for i in apart])
-    back = np.array([1 / (share or {}).get(int(labels[i] > 0), 1.0) for i in apart])
-    model.slope, model.shift = logistic(margin, y[apart], back)
+    model, margin = _weights(rows, y, cost), np.zeros(len(y))
+    # Margins of rows that a model has not seen, where each class has rows for all folds; else the model's own.
+    if min((y > 0).sum(), (y < 0).sum()) >= 2 * FOLDS:
+        fold = np.zeros(len(y), np.int64)
+        for s in (1, -1):
+            fold[y == s] = np.arange((y == s).sum()) % FOLDS
+        for k in range(FOLDS):
+            part = _weights([r for r, f in zip(rows, fold) if f != k], y[fold != k], cost)
+            for i in np.flatnonzero(fold == k):
+                margin[i] = part.margin(rows[i])
+    else:
+        margin[:] = [model.margin(r) for r in rows]
+    back = np.array([1 / (share or {}).get(int(v > 0), 1.0) for v in labels])
+    model.slope, model.shift = logistic(margin, y, back)
     return model
 
 
+def _weights(rows: list[np.ndarray], y: np.ndarray, cost: float) -> Model:
+    """Log-count ratios and the linear model on them, the classes' costs balanced."""
+    count = {s: np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == s]), minlength=BUCKETS) + SMOOTH for s in (1, -1)}
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[-1] / count[-1].sum())
+    balance = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
+    return Model(ratio, *hinge(rows, y, ratio, cost * balance), 1.0, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Draw labelled ids first; only they, a bounded number, are broadcast to the documents."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))

@@ -487,7 +487,7 @@ def test_fingerprint_sketch_equals_a_slow_one():
             h = w * int(fingerprint._MIX[0]) % 2**64
             h = (h ^ h >> 29) * int(fingerprint._MIX[1]) % 2**64 >> 40
             out[(h >> 1) * fingerprint.SKETCH >> 23] += -1 if h & 1 else 1
-    assert fingerprint.vector(text)[fingerprint.DENSE :].view(np.int16).tolist() == out.tolist()
+    assert fingerprint.sketch_of(fingerprint.vector(text)).tolist() == out.tolist()
 
 
 @pytest.mark.parametrize("texts", [ODD, ["only one"], [], None])
@@ -522,7 +522,7 @@ def test_pipeline_stage_by_stage(spark):
         out = stage(spark, now, SMALL)
         if name != "packing":
             assert out.columns == columns
-            now = common.written_stage(spark, out, name)
+            now = common.stored(spark, out, name)
             after = {r.doc_id: r for r in now.collect()}
             assert set(after) <= set(before)
         if name == "language_id":

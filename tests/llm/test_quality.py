@@ -49,8 +49,8 @@ def test_pieces_change_nothing(text, chunk):
 def test_ratio_is_the_log_count_ratio():
     texts, labels = ["good one"] * 6 + ["BAD $$"] * 6, [1] * 6 + [0] * 6
     model = quality.train(texts, labels)
-    counts = {s: np.ones(quality.BUCKETS) for s in (0, 1)}
-    for t, y in zip(texts, labels):  # fewer than ten of a class: none is kept apart
+    counts = {s: np.full(quality.BUCKETS, quality.SMOOTH) for s in (0, 1)}
+    for t, y in zip(texts, labels):
         counts[y][slow_indicators(t)] += 1
     want = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     assert np.allclose(model.ratio, want)
