@@ -2,17 +2,21 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir), where docs is the Parquet that its
 predecessor's result was written to, and returns a DataFrame. A stage may keep tables in the shared folder until its
-result is written; the next stage deletes them. No SQL expresses the whole, so ORACLE_SQL is None; tests hold run()
+result is written; the next stage deletes them, and run() the results that it has no more need of. No SQL expresses the whole, so ORACLE_SQL is None; tests hold run()
 against a brute-force version.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filemeta.llm import common, langid, line_dedup, near_dedup, packing, quality
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,14 +26,12 @@ def _columns(df: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the identifier accepts."""
-    common.drop_written(spark)
     common.ship(spark)
     return _columns(langid.predict(docs, langid.fit(docs)).where("not rejected"))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good."""
-    common.drop_written(spark)
     common.ship(spark)
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
     return _columns(quality.score(docs, model).where("predicted = 1"))
@@ -37,7 +39,6 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document of which nothing but blanks is left goes."""
-    common.drop_written(spark)
     cut = line_dedup.dedup_lines(docs)
     return _columns(cut.where("n_removed = 0 or trim(text) <> ''").withColumn("n_chars", F.length("text").cast("long")))
 
@@ -45,7 +46,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest id; one row of those that share id and
     text."""
-    common.drop_written(spark)
     keep = near_dedup.near_groups(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.count("*").alias("__rows"))
     keep = common.stored(spark, keep, "kept")
     rows = docs.withColumn("__own", F.xxhash64("text"))
@@ -59,17 +59,35 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of packed sequences."""
     import public_tokenizers
 
-    common.drop_written(spark)
     common.ship(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Tables that a stage keeps until its result is written: application id -> paths.
+_KEPT: dict[str, list[str]] = {}
+
+
+def _stage(function: Stage) -> Stage:
+    """The stage, which first deletes the tables that the stage before it kept, and no others."""
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        common.drop(spark, *_KEPT.pop(app, []))
+        with common.noted() as paths:
+            result = function(spark, docs, sf_dir)
+        _KEPT[app] = paths
+        return result
+
+    return stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("quality", classify_quality),
-    ("line_dedup", dedup_lines),
-    ("near_dedup", dedup_near),
-    ("packing", pack_sequences),
+    ("language_id", _stage(identify_language)),
+    ("quality", _stage(classify_quality)),
+    ("line_dedup", _stage(dedup_lines)),
+    ("near_dedup", _stage(dedup_near)),
+    ("packing", _stage(pack_sequences)),
 ]
 
 ORACLE_SQL = None
@@ -77,9 +95,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         result = stage(spark, docs, sf_dir)
-        if stage is STAGES[-1][1]:
+        if k == len(STAGES) - 1:
             return result
-        docs = common.written_stage(spark, result, name)
+        written = common.stored(spark, result, f"stage-{name}")
+        if k:
+            common.drop(spark, docs)
+        docs = written
     return docs
