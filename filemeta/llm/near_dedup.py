@@ -7,8 +7,9 @@
 3. Rounds of stars: in each bucket that still holds several components, members are paired with one pivot, at most
    one new pair for each class and round; a pair is checked by signature, then confirmed on the full sets; links join components.
    A hot bucket of near copies falls into one component this way without its pairs being made.
-4. What stays unresolved is compared whole, in blocks of BLOCK members of a bucket against another: members of
-   different components, by signature in numpy, then on full sets; a block gives only the links that join components.
+4. What stays unresolved is compared whole, in blocks of BLOCK members of a bucket against another: first by
+   signature alone, in numpy, which leaves the members that have a likely partner in another component; only these
+   get their full sets, and are compared on them; a pair of blocks gives only the links that join components.
 
 Every pair that shares a band is thus either linked by a path of confirmed links or compared; none is capped away.
 
@@ -37,7 +38,8 @@ HASHES, MISS = 180, 1e-6
 #: Standard errors of the signature's estimate that a pair may lie under the threshold.
 ERRORS = 5
 ROUNDS = 3
-BLOCK = 250
+#: Members of a hot bucket that are compared with as many others in one task.
+BLOCK = 1000
 NULL_ID = -(1 << 63)
 #: Bytes of text whose words are hashed together.
 TEXT_BLOCK = 8 << 20
@@ -198,10 +200,35 @@ def _merged(spark, comps: DataFrame, links: DataFrame) -> DataFrame:
     return common.stored(spark, comps.join(cc, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comps")
 
 
+def _likely(rep: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of the members of one pair of blocks, each of the lower block with those of the other, each pair once, that are
+    of another component and by size and signature may be linked with it."""
+    low, high = int(block.min()), int(block.max())
+    others = np.flatnonzero(block == high)
+    for x in np.flatnonzero(block == low).tolist():
+        some = others[rep[others] > rep[x]] if low == high else others
+        some = some[(100 * np.minimum(n[x], n[some]) >= percent * np.maximum(n[x], n[some])) & (comp[some] != comp[x])]
+        if len(some):
+            yield x, some[np.count_nonzero(sig[some] == sig[x], axis=1) >= least]
+
+
+def _members(rows: list[tuple]) -> list[np.ndarray]:
+    """Of rows (rep, comp, block, n, sig, ...): rep, comp, block, n, signatures."""
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    return [*(np.array([r[k] for r in rows], np.int64) for k in range(4)), sig]
+
+
+def _survivors(rows: list[tuple], percent: int, least: int) -> list[tuple[int, int, int]]:
+    """(rep, comp, block) of the members that have a likely partner."""
+    seen = np.zeros(len(rows), bool)
+    for x, some in _likely(*_members(rows), percent, least):
+        seen[some] = True
+        seen[x] |= len(some) > 0
+    return [rows[k][:3] for k in np.flatnonzero(seen).tolist()]
+
+
 def _compare(rows: list[tuple], percent: int, least: int) -> list[tuple[int, int]]:
-    """Links (comp, comp) that join components, of rows (i, j, rep, comp, block, n, sig, items) of one block pair."""
-    rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
-    first, second = rows[0][0], rows[0][1]
+    """Links (comp, comp) that join components, of rows (rep, comp, block, n, sig, items)."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -209,43 +236,51 @@ def _compare(rows: list[tuple], percent: int, least: int) -> list[tuple[int, int
             root[x] = x = root[root[x]]
         return x
 
-    sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-    comp, block, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
     out = []
-    ins, jns = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    for x in ins.tolist():
-        others = jns[jns > x] if first == second else jns
-        small, large = np.minimum(n[x], n[others]), np.maximum(n[x], n[others])
-        others = others[(100 * small >= percent * large) & (comp[others] != comp[x])]
-        for at in range(0, len(others), 4096):
-            some = others[at : at + 4096]
-            for y in some[(sig[some] == sig[x]).sum(axis=1) >= least].tolist():
-                u, v = find(int(comp[x])), find(int(comp[y]))
-                if u != v and linked(np.frombuffer(rows[x][7], np.uint64), np.frombuffer(rows[y][7], np.uint64), percent):
-                    root[max(u, v)] = min(u, v)
-                    out.append((int(comp[x]), int(comp[y])))
+    for x, some in _likely(*_members(rows), percent, least):
+        for y in some.tolist():
+            u, v = find(rows[x][1]), find(rows[y][1])
+            if u != v and linked(np.frombuffer(rows[x][5], np.uint64), np.frombuffer(rows[y][5], np.uint64), percent):
+                root[max(u, v)] = min(u, v)
+                out.append((rows[x][1], rows[y][1]))
     return out
 
 
-def compare_blocks(rest: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Rows are dealt and sorted by block pair and stream by; a task holds one block pair."""
-    least = least_equal(percent)
-    columns = ["i", "j", "rep", "comp", "block", "n_shingles", "sig", "items"]
+def _by_block_pair(rest: DataFrame, parts: int, columns: list[str], schema: str, work) -> DataFrame:
+    """Rows of rest are dealt and sorted by (key, i, j), a pair of blocks, and stream by; work gets a list of the columns'
+    rows of each pair, which are unique by rep, and gives rows of long columns, behind (key, i, j) if the schema has them."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    keyed = names[0] == "key"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, out = None, {}, []
+
+        def shut() -> None:
+            if len(rows) > 1:
+                out.extend((*now, *x) if keyed else x for x in work(list(rows.values())))
+
         for b in batches:
-            links = []
-            for key, row in zip(b.column("key").to_pylist(), zip(*(b.column(c).to_pylist() for c in columns))):
-                if (key, *row[:2]) != now:
-                    links += _compare(rows, percent, least) if len(rows) > 1 else []
-                    now, rows = (key, *row[:2]), []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
-        links = _compare(rows, percent, least) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            for at in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", *columns))):
+                if at[:3] != now:
+                    shut()
+                    now, rows = at[:3], {}
+                rows[at[3]] = at[3:]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names=names)
+            out.clear()
+        shut()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(names))], names=names)
+
+    return rest.select("key", "i", "j", *columns).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
-    return rest.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+
+def compare_blocks(rest: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (u, v) between components, of rest(key, i, j, rep, comp, block); sets has rep, sig, items and n_shingles.
+    Full sets go only to members that a signature leaves."""
+    spark, least = rest.sparkSession, least_equal(percent)
+    known = ["rep", "comp", "block", "n_shingles", "sig"]
+    near = _by_block_pair(rest.join(sets.drop("items"), "rep"), parts, known, "key long, i long, j long, rep long, comp long, block long", lambda rows: _survivors(rows, percent, least))
+    near = common.stored(spark, near, "likely")
+    return _by_block_pair(near.join(sets, "rep"), parts, [*known, "items"], "u long, v long", lambda rows: _compare(rows, percent, least))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,6 +292,26 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     """near_duplicates() with mark, the text's xxhash64: doc_id and mark are a row's key."""
     spark = docs.sparkSession
     common.ship(spark)
+    with common.noted() as written:
+        known, classes, comps = _components(docs, size, percent, doc_id, text)
+    common.drop(spark, *set(written) - {t.stored_at for t in (known, classes, comps)})
+
+    # A component's first row, by id and text; a class or row of no component is its own.
+    first = comps.join(classes.select("rep", "low"), "rep").groupBy("comp").agg(F.min("low").alias("first"))
+    heads = classes.select("set_key", "rep", "low").join(comps.join(first, "comp").select("rep", "first"), "rep", "left").select("set_key", F.coalesce("first", "low").alias("head"))
+    own = F.struct("doc_id", "mark")
+    found = known.select("doc_id", "mark", "n_shingles", "set_key").join(heads, "set_key", "left").select("doc_id", "mark", "n_shingles", own.alias("own"), F.coalesce("head", own).alias("head"))
+    null = F.lit(None).cast("long")
+    return found.select(
+        F.when(F.col("doc_id") == NULL_ID, null).otherwise(F.col("doc_id")).alias("doc_id"), "mark", "n_shingles",
+        F.when(F.col("head.doc_id") == NULL_ID, null).otherwise(F.col("head.doc_id")).alias("component_id"),
+        (F.col("own") == F.col("head")).alias("kept"),
+    )
+
+
+def _components(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored tables: the sketches of all rows, the classes, and the component of each class that shares a bucket."""
+    spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
     known = common.stored(spark, sketch(docs, size, percent), "sketch")
     classes = known.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("low"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("rep", F.xxhash64("set_key"))
@@ -270,7 +325,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     items = full_sets(docs.join(rows, ["doc_id", "mark"]).select("rep", "text"), size)
     sets = common.stored(spark, items.join(classes.select("rep", "sig"), "rep"), "sets")
 
-    comps, tested = members.select("rep", F.col("rep").alias("comp")), None
+    comps, tested = common.stored(spark, members.select("rep", F.col("rep").alias("comp")), "comps"), None
     for turn in range(ROUNDS):
         at = multi.join(comps, "rep")
         order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
@@ -302,22 +357,11 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
         # A bucket of one block is compared with itself; of more, each block with each.
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rest = rest.select("key", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        rest = rest.join(sets.select("rep", "sig", "items", F.expr("length(items) div 8").alias("n_shingles")), "rep")
-        links = common.stored(spark, compare_blocks(rest, percent, common.parts(spark)), "links")
+        sized = sets.withColumn("n_shingles", F.expr("length(items) div 8"))
+        links = common.stored(spark, compare_blocks(rest, sized, percent, common.parts(spark)), "links")
         if not links.isEmpty():
             comps = _merged(spark, comps, links)
-
-    # A component's first row, by id and text; a class or row of no component is its own.
-    first = comps.join(classes.select("rep", "low"), "rep").groupBy("comp").agg(F.min("low").alias("first"))
-    heads = classes.select("set_key", "rep", "low").join(comps.join(first, "comp").select("rep", "first"), "rep", "left").select("set_key", F.coalesce("first", "low").alias("head"))
-    own = F.struct("doc_id", "mark")
-    found = known.select("doc_id", "mark", "n_shingles", "set_key").join(heads, "set_key", "left").select("doc_id", "mark", "n_shingles", own.alias("own"), F.coalesce("head", own).alias("head"))
-    null = F.lit(None).cast("long")
-    return found.select(
-        F.when(F.col("doc_id") == NULL_ID, null).otherwise(F.col("doc_id")).alias("doc_id"), "mark", "n_shingles",
-        F.when(F.col("head.doc_id") == NULL_ID, null).otherwise(F.col("head.doc_id")).alias("component_id"),
-        (F.col("own") == F.col("head")).alias("kept"),
-    )
+    return known, classes, comps
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
