@@ -1,5 +1,9 @@
 """Pages whose layout wrappers, attributes and teasers must not hide the article."""
 
+import html
+import re
+import time
+
 import pytest
 
 from filemeta.llm import html_extract
@@ -44,3 +48,73 @@ def test_teasers_do_not_replace_the_text(page, want):
 def test_teaser_cards_with_text():
     cards = "<article><h3>A card</h3><p>What the card is about.</p></article>" * 3
     assert html_extract.main_text(f"<div class=post><p>{LONG}</p><p>{LONG}</p></div>{cards}").startswith(TEXT + "\n\n" + TEXT)
+
+
+RU = "Это была длинная и спокойная статья о том, как живут люди в маленьком городе. Она рассказывает о них. " * 4
+JA = "これは小さな町に住む人々についての長くて静かな記事です。彼らの暮らしを語ります。" * 4
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='content no-sidebar'><p>{LONG}</p></div>", TEXT),
+        (f"<div class='post with-comments'><p>{LONG}</p></div>", TEXT),
+        (f"<article><p title='The hidden valley'>{LONG}</p><p data-id='search'>Two.</p></article>", TEXT + "\n\nTwo."),
+        (f"<article><p>{LONG}</p><p>See <a href=x>the long report on the state of the town and its people</a>.</p><p>{LONG}</p></article>", TEXT + "\n\nSee the long report on the state of the town and its people.\n\n" + TEXT),
+        (f"<nav><a href=x>A</a></nav><p>{RU}</p><p>{RU}</p><div><a href=x>Ещё одна статья</a> <a href=y>И ещё</a></div>", RU.strip() + "\n\n" + RU.strip()),
+        (f"<div><a href=x>リンク</a></div><p>{JA}</p><p>短い。</p><p>{JA}</p>", JA + "\n\n短い。\n\n" + JA),
+        (f"<body><form id=aspnet><div class=menu><a href=x>A</a></div><p>{LONG}</p><p>End.</p></form></body>", TEXT + "\n\nEnd."),
+        (f"<p>{LONG}</p><form><p>{LONG}</p><input></form>", TEXT),
+        (f"<html><head><meta charset=utf-8><title>No</title><p>{LONG}</p>", TEXT),
+        (f"<head><title>No</title>{LONG}<p>Two.</p>", TEXT + "\n\nTwo."),
+        (f"<head><style>x</style><body><p>{LONG}</p></body>", TEXT),
+        (f"<p>{LONG}</p><p>One <span class='ad'>Buy <span>now</span> CHEAP PILLS</span> two.</p>", TEXT + "\n\nOne two."),
+        (f"<p>{LONG}</p><p>One <a class='sponsored' href=x>Buy <b>now</b></a> two.</p>", TEXT + "\n\nOne two."),
+        (f"<article><h1><span class='entry-header'>Title</span></h1><p>{LONG}</p></article>", "Title\n\n" + TEXT),
+        (f"<p>{LONG}</p><p>a | b | c | d | e | f | g | h | i | j | k | l | m | n | o | p | q | r | s | t | u | v</p><p>{LONG}</p>", TEXT + "\n\na | b | c | d | e | f | g | h | i | j | k | l | m | n | o | p | q | r | s | t | u | v\n\n" + TEXT),
+        (f"<p><b>{LONG}<br><p>{LONG}</p><p>x</b> y</p>", TEXT + "\n\n" + TEXT + "\n\nx y"),
+        (f"<span><div><p>{LONG}</span></div>", TEXT),
+    ],
+)
+def test_pages_that_once_lost_or_leaked_text(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def paragraphs(page):
+    inner = re.search("<article>(.*)</article>", page, re.S)[1]
+    want = [" ".join(html.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in re.split("</?p>|</?h1>", inner)]
+    return "\n\n".join(x for x in want if x)
+
+
+def test_rules_find_the_text_without_an_article_element(spark):
+    """The element that marks the article is renamed, its end and all; what it held is the yardstick."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right = {}
+    for name in ("section", "div", None):
+        again = [re.sub("</?article>", "" if name is None else lambda m: m[0].replace("article", name), p) for p in pages]
+        right[name] = sum(html_extract.main_text(p) == paragraphs(q) for p, q in zip(again, pages))
+    assert min(right.values()) >= 0.98 * len(pages), right
+
+
+def test_links_and_named_parts_go_without_an_article_element(spark):
+    """As above, with menus, notices and teasers that no element name tells, only words of theirs or links."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    more = "<div id=top-nav>The menu of the site and all that is in it for you</div><div>" + "".join(f"<a href=/{k}>A link of the page</a> " for k in range(12)) + "</div>"
+    right = sum(html_extract.main_text(re.sub("</?article>", "", p).replace("<nav>", more + "<nav>").replace("<footer>", more + "<footer>")) == paragraphs(p) for p in pages)
+    assert right >= 0.9 * len(pages), right
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "</span>" * 200_000, "<span><div>" * 100_000 + "</b></p>" * 100_000, "<p><i class=x>" * 100_000, "<li>" * 200_000, "<div class=sidebar>x" * 30_000, "<article class=ad>x" * 30_000, "<a href=x>y" * 100_000, "<" * 200_000, "<div " * 50_000])
+def test_deep_and_broken_pages_take_no_long_time(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 4
+
+
+def test_table_edges(spark):
+    rows = [(1, "u", f"<p>{LONG}</p>", 7), (1, "u", f"<p>{LONG}</p>", 7), (None, None, None, 8), (2, "v", "", 9), (3, "w", "<p>" + LONG * 5000 + "</p>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    out = html_extract.extract(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(df.where("page_id > 9")).count() == 0
+    got = out.collect()
+    assert [r.text for r in got] == [TEXT, TEXT, "", "", (LONG * 5000).strip()] and all(r.n_chars == len(r.text) for r in got)
