@@ -282,7 +282,8 @@ def store_text_as_media(df: DataFrame, text: str = "text", media: str = "media",
 
 
 def store_pcm(df: DataFrame, media: str = "media", pcm: str = "pcm", to_rate: int = 16000) -> DataFrame:
-    """The resampled PCM of each media value as a binary column (null media: null)."""
+    """The resampled PCM of each media value as a binary column (null media: null), to be written as a table. At
+    16 kHz, PCM has four bytes for a G.711 sample and eight for an ADPCM byte."""
 
     def work(b: pa.RecordBatch) -> list:
         found = samples_many([s.as_py() for s in b.column(media)])
@@ -292,7 +293,8 @@ def store_pcm(df: DataFrame, media: str = "media", pcm: str = "pcm", to_rate: in
 
 
 def describe_media(df: DataFrame, media: str = "media", to_rate: int = 16000) -> DataFrame:
-    """Digests of each media value's stored form and payload, and the feature of its resampled PCM."""
+    """Digests of each media value's stored form and payload, and the feature of its resampled PCM, which is that of
+    what store_pcm() stores."""
     fields = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
     def work(b: pa.RecordBatch) -> list:
