@@ -59,7 +59,7 @@ WITHIN = frozenset("ad ads share sharing social".split())
 _SENTENCE = re.compile("[.!?\u2026](?=[\\s\"'\u00bb\u201d\u2019)]|$)|[\u3002\uff01\uff1f\uff61\u0964\u061f\u06d4\u0589\u1362\u104b]")
 # Letters of scripts that write a word, or a syllable, in one character.
 _WIDE = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+_WORD = re.compile(r"[^\W_]+")
 # A word behind has-, with- or no- says what a container has, not what it is.
 _NAMED = re.compile(r"(?:^|[\s_-])(?<!\bhas[_-])(?<!\bwith[_-])(?<!\bno[_-])(?<!\bwithout[_-])(" + "|".join(NAMES) + r")(?=$|[\s_\d-])", re.I)
 _MARKS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
@@ -104,7 +104,7 @@ class Named:
 class Block:
     """parent is the number of the element around it that is neither a paragraph, a heading nor within a line."""
 
-    __slots__ = ("raw", "linked", "container", "parent", "heading", "title", "item", "named", "text")
+    __slots__ = ("raw", "linked", "container", "parent", "heading", "title", "item", "named", "text", "size", "density")
 
     def __init__(self, container: int, parent: int, around: list[str], named: Named | None):
         self.raw: list[str] = []
@@ -112,6 +112,12 @@ class Block:
         self.heading, self.title = not HEADINGS.isdisjoint(around), "h1" in around
         self.item = "p" not in around and not self.heading
 
+    def close(self) -> bool:
+        """Decode and measure the block's text; whether it has any."""
+        self.text = " ".join(entities.unescape("".join(self.raw)).split())
+        self.size, self.density = _size(self.text), _density(self.text)
+        return bool(self.text)
+
 
 def blocks_of(page: str) -> tuple[list[Block], list[Named]]:
     """The page's blocks that no tag rules out, and the named elements, in order; container 0 is outside article and
@@ -217,29 +223,24 @@ def blocks_of(page: str) -> tuple[list[Block], list[Named]]:
     return out, every
 
 
-def _words(text: str) -> list[str]:
-    return [x for w in text.lower().split() if (x := _EDGES.sub("", w))]
-
-
 def _density(text: str) -> float:
     """The share of a text's words that are stop words of one language, the one that has most."""
-    words = _words(text)
-    return max(sum(w in s for w in words) for s in _STOPS) / len(words) if words else 0.0
+    words = _WORD.findall(text.lower())
+    return max(sum(map(s.__contains__, words)) for s in _STOPS) / len(words) if words else 0.0
 
 
 def _size(text: str) -> int:
     """Length of a text, a letter of a script without short words counting as three."""
-    return len(text) + 2 * len(_WIDE.findall(text))
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
 
 
 def _first_pass(blocks: list[Block]) -> list[str]:
     """Each block is good, bad, or ambiguous: near (reads like text) or short (no evidence)."""
-    density = [_density(b.text) for b in blocks]
     # Without stop words of a known language, sentence ends for each LENGTH_HIGH of text say what reads like text.
-    foreign = not any(d >= STOP_LOW and len(b.text) >= LENGTH_LOW for b, d in zip(blocks, density))
+    foreign = not any(b.density >= STOP_LOW and len(b.text) >= LENGTH_LOW for b in blocks)
     out = []
-    for b, d in zip(blocks, density):
-        n = _size(b.text)
+    for b in blocks:
+        n, d = b.size, b.density
         if b.linked > LINKS_HIGH * len(b.text):
             out.append("bad" if b.item or not b.container else "short")
         elif n < LENGTH_LOW:
@@ -262,7 +263,7 @@ def _spared(found: list[Block], every: list[Named]) -> list[Block]:
             e.parent.articles |= e.articles
     if len(shown) == len(found) or any(b.container for b in shown) and not any(e.mains for e in every):
         return shown
-    good = [_size(b.text) if x == "good" else 0 for b, x in zip(found, _first_pass(found))]
+    good = [b.size if x == "good" else 0 for b, x in zip(found, _first_pass(found))]
     for b, n in zip(found, good):
         if b.named:
             b.named.good += n
@@ -307,7 +308,7 @@ def _marked(found: list[Block], labels: list[str]) -> bool:
         return True
     good = [b for b, x in zip(found, labels) if x == "good"]
     outside = [b for b in good if not b.container]
-    if 2 * sum(_size(b.text) for b in outside) <= sum(_size(b.text) for b in good):
+    if 2 * sum(b.size for b in outside) <= sum(b.size for b in good):
         return True
     if not any(b.title and b.container for b in found) or any(b.title and not b.container for b in found):
         return False
@@ -346,9 +347,7 @@ def _second_pass(found: list[Block], labels: list[str]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found, every = blocks_of(page or "")
-    for b in found:
-        b.text = " ".join(entities.unescape("".join(b.raw)).split())
-    found = _spared([b for b in found if b.text], every)
+    found = _spared([b for b in found if b.close()], every)
     labels = _first_pass(found)
     if any(b.container for b in found):
         if _marked(found, labels):
