@@ -1,8 +1,9 @@
 """Stage 4: studios, by exact name, by a part before or after a dash, by substring.
 
 The dimension is a table (key, canonical, exact_only, ord), key in lower case. A dimension of up to LITERAL_KEYS keys
-goes into the plan as a literal map, so names are matched in place without an exchange. A larger one is joined: tokens
-are exploded and matched by key; Spark broadcasts the dimension while it is below its threshold and shuffles beyond.
+goes into the plan as a literal map, so names are matched in place without an exchange. A larger one is joined
+(with_hits): each distinct text of tokens gets the keys that occur in it, found by a key's rarest three letters, and
+the same expressions look in these few.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ def rows_from_catalogue(studios: list[dict]) -> list[tuple]:
     return [(k, c, e, o) for k, (c, e, o) in found.items()]
 
 
+def from_catalogue(found: DataFrame) -> DataFrame:
+    """rows_from_catalogue() of studios(name, aliases) in their order, as a table; see last_wins()."""
+    named = F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    rows = found.where(F.coalesce("name", F.lit("")) != "").select("name", F.explode(named).alias("key")).where("key <> ''")
+    return rows.select(F.lower("key").alias("key"), F.col("name").alias("canonical"), F.lit(False).alias("exact_only"), F.monotonically_increasing_id().alias("ord"))
+
+
 def _listed(v) -> list:
     if isinstance(v, str):
         try:
@@ -100,6 +108,58 @@ class Known:
         return F.get(F.filter(F.array(*(F.lit(k) for k in self.partial)), lambda k: F.contains(F.lower(v), k)), F.lit(0))
 
 
+@dataclass
+class Hits:
+    """A dimension by the keys that may occur in a row, a column of it, in the order of Known.partial."""
+
+    column: str
+
+    def find(self, v: Column) -> Column:
+        return F.get(F.filter(self.column, lambda h: h.key == F.lower(v)), F.lit(0)).canonical
+
+    def within(self, v: Column) -> Column:
+        return F.get(F.filter(self.column, lambda h: (h.n <= -3) & ~h.exact_only & F.contains(F.lower(v), h.key)), F.lit(0)).key
+
+
+def grams(c: Column, lengths: list[int]) -> Column:
+    """The distinct runs of so many letters of a text."""
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (k - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+    return F.array_distinct(F.concat(*map(runs, lengths)))
+
+
+def blocked(keys: DataFrame, key: str = "key", gram: int = 3) -> DataFrame:
+    """keys, unique, with the run of gram letters in each that fewest of them have; a shorter key is its own run."""
+    runs = keys.select(key, F.explode(grams(F.col(key), [gram])).alias("gram"))
+    often = runs.groupBy("gram").agg(F.count("*").alias("n"))
+    best = runs.join(often, "gram").groupBy(key).agg(F.min(F.struct("n", "gram")).gram.alias("gram"))
+    return keys.join(best, key)
+
+
+def with_hits(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """df with __hits, the dimension's rows whose key occurs in a token, the longest first. Texts meet keys by an equi
+    join on a run of letters, each distinct text once."""
+    values = F.transform(F.filter("tokens", lambda t: (t.type != "path") & t.value.isNotNull()), lambda t: t.value)
+    df = add(df, __text=F.lower(F.array_join(values, "\n")))
+    lengths = sorted(r[0] for r in dim.select(F.least(F.length("key"), F.lit(3))).where("key <> ''").distinct().collect())
+    texts = df.select("__text").where("__text <> ''").distinct()
+    spots = texts.select("__text", F.explode(grams(F.col("__text"), lengths or [3])).alias("gram"))
+    found = spots.join(blocked(dim.where("key <> ''")), "gram").where(F.contains("__text", F.col("key")))
+    row = F.struct((-F.length("key")).alias("n"), "ord", "key", "canonical", "exact_only")
+    hits = found.groupBy("__text").agg(F.array_sort(F.collect_list(row)).alias("__hits"))
+    return df.join(hits, "__text", "left").drop("__text").withColumn("__hits", F.coalesce("__hits", F.array().cast(dict(hits.dtypes)["__hits"])))
+
+
+def known_of(dim: "Known | DataFrame | list[tuple]", spark: SparkSession, most: int | None = None) -> "Known | DataFrame":
+    """A dimension as literals where it has at most so many keys (LITERAL_KEYS), else as a table of unique keys."""
+    if isinstance(dim, Known):
+        return dim
+    most = LITERAL_KEYS if most is None else most
+    if isinstance(dim, DataFrame):
+        rows = collect_dimension(dim, most)
+        return last_wins(dim) if rows is None else Known.of(rows)
+    return Known.of(dim) if len(dim) <= most else last_wins(dimension(spark, dim))
+
+
 def collect_dimension(dim: DataFrame, most: int = LITERAL_KEYS) -> list[tuple] | None:
     """The dimension's rows, or None if it has more than so many."""
     rows = last_wins(dim).limit(most + 1).collect()
@@ -162,9 +222,16 @@ def split_substring(tokens: Column, known: Known) -> Column:
     return F.flatten(F.transform(tokens, one)).cast(TOKENS)
 
 
-def with_studio(df: DataFrame, known: Known, existing: str | None = None) -> DataFrame:
+def with_studio(df: DataFrame, known: Known | DataFrame | list[tuple], existing: str | None = None) -> DataFrame:
     """Exact, then by dash, then by substring, each only while no studio is known; then a record's own studio fills
     an empty or unknown one. Adds studio."""
+    known = known_of(known, df.sparkSession)
+    if isinstance(known, DataFrame):
+        return with_studio_by(with_hits(df, known), Hits("__hits"), existing).drop("__hits")
+    return with_studio_by(df, known, existing)
+
+
+def with_studio_by(df: DataFrame, known: Known | Hits, existing: str | None = None) -> DataFrame:
     df = add(df, tokens=mark_exact(F.col("tokens"), known))
     for step in (split_dash, split_substring):
         df = add(df, tokens=F.when(F.exists("tokens", lambda t: t.type == "studio"), F.col("tokens")).otherwise(step(F.col("tokens"), known)))
@@ -188,11 +255,10 @@ def match_dash(tokens: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def match_substring(tokens: DataFrame, dim: DataFrame, gram: int = 3) -> DataFrame:
-    """(id, pos, key, canonical, start) of the longest key inside each value. Keys are blocked by their first letters:
-    a value meets only the keys whose first three letters it has, by an equi join, not every key."""
-    keys = dim.where((F.length("key") >= gram) & ~F.col("exact_only")).withColumn("gram", F.substring("key", 1, gram))
-    spots = F.transform(F.sequence(F.lit(1), F.greatest(F.length("value") - (gram - 1), F.lit(1))), lambda i: F.substring(F.lower("value"), i, F.lit(gram)))
-    grams = tokens.select("id", "pos", "value", F.explode(F.array_distinct(spots)).alias("gram"))
-    found = grams.join(keys, "gram").where(F.contains(F.lower("value"), F.col("key")))
+    """(id, pos, key, canonical, start) of the longest key inside each value. A value meets only the keys whose rarest
+    run of three letters it has, by an equi join, not every key."""
+    keys = blocked(dim.where((F.length("key") >= gram) & ~F.col("exact_only")), gram=gram)
+    spots = tokens.select("id", "pos", "value", F.explode(grams(F.lower("value"), [gram])).alias("gram"))
+    found = spots.join(keys, "gram").where(F.contains(F.lower("value"), F.col("key")))
     best = found.groupBy("id", "pos").agg(F.max(F.struct(F.length("key").alias("n"), (-F.col("ord")).alias("o"), "key", "canonical", (F.instr(F.lower("value"), F.col("key")) - 1).alias("start"))).alias("m"))
     return best.select("id", "pos", "m.key", "m.canonical", "m.start")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .compare import FIELDS, VALID_FORMATS, parse_date
+from .studios import blocked, grams
 
 # The limit of a title, and the cost model of an update run.
 TITLE_MOST, BATCH, ROWS_A_SECOND, CALL_S, PAUSE_S = 500, 20, 2.0, 0.1, 0.5
@@ -33,13 +34,16 @@ def build_update(parsed: dict[str, Column], original: dict[str, Column], approve
 
 def resolve_studios(df: DataFrame, studios: DataFrame, name: str = "studio_name") -> DataFrame:
     """Add studio_id: of the studio of this name, else of the one whose name holds it (the first by name, then id);
-    null if none. studios(id, name) is small and checked by Spark's broadcast threshold; only names, once each, that
-    have no exact match meet every studio."""
+    null if none. Names, once each, that have no exact match meet only the studios that have their rarest run of three
+    letters, by an equi join."""
     names = df.select(F.trim(name).alias("__n")).where("__n <> ''").distinct()
     first = lambda x: F.min(F.struct("name", "id")).alias("m")
     exact = names.join(studios, names["__n"] == studios["name"]).groupBy("__n").agg(first(0)).select("__n", F.col("m.id").alias("id"))
     rest = names.join(exact, "__n", "left_anti")
-    part = rest.join(studios, F.contains(F.lower("name"), F.lower("__n"))).groupBy("__n").agg(first(0)).select("__n", F.col("m.id").alias("id"))
+    runs = blocked(rest.select(F.lower("__n").alias("__low")).distinct(), "__low")
+    low = rest.withColumn("__low", F.lower("__n")).join(runs, "__low")
+    spots = studios.where("name <> ''").select("id", "name", F.explode(grams(F.lower("name"), [1, 2, 3])).alias("gram"))
+    part = low.join(spots, "gram").where(F.contains(F.lower("name"), F.col("__low"))).groupBy("__n").agg(first(0)).select("__n", F.col("m.id").alias("id"))
     found = exact.unionByName(part).withColumnRenamed("id", "studio_id")
     return df.join(found, F.trim(F.col(name)) == F.col("__n"), "left").drop("__n")
 

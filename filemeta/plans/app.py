@@ -47,13 +47,13 @@ def session() -> SparkSession:
     return SparkSession.builder.appName("filemeta").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def report(spark: SparkSession, scenes: DataFrame, dimension: list[tuple], with_path: bool = False) -> DataFrame:
+def report(spark: SparkSession, scenes: DataFrame, dimension: DataFrame | list[tuple], with_path: bool = False) -> DataFrame:
     """Report rows of catalogue records: a record's own values before parsed ones. A record whose name cannot be
     parsed has null fields; it stops no other."""
     name = records.file_name(records.primary_file(F.col("files")), with_path)
     rows = scenes.select("id", name.alias("filename"), F.col("studio.name").alias("own_studio"), F.col("title").alias("own_title"), F.col("date").alias("own_date"), F.col("code").alias("own_code"), F.transform("performers", lambda p: p["name"]).alias("own_performers"))
     rows = rows.where(~text.blank(F.col("filename"))).withColumn("name", F.col("filename"))
-    return records.report_rows(parse.parse_names(rows, known=studios.Known.of(dimension), existing="own_studio"))
+    return records.report_rows(parse.parse_names(rows, known=dimension, existing="own_studio"))
 
 
 def run(request: dict, spark: SparkSession | None = None, log=lambda *_: None) -> dict:
@@ -81,11 +81,12 @@ def run(request: dict, spark: SparkSession | None = None, log=lambda *_: None) -
                 import openpyxl  # noqa: F401
             except ImportError:
                 path = path.with_suffix(".parquet")
+        found, seen = records.observed(found)
         if path.suffix == ".xlsx":
             sinks.write_workbook(str(path), [sinks.Sheet("Report", found, bold="bold_mask")])
         else:
             found.write.mode("overwrite").parquet(str(path.absolute()))
-        return {"output": {"report": str(path), "rows": found.count()}}
+        return {"output": {"report": str(path), "rows": seen.get["rows"]}}
     except Exception as e:  # noqa: BLE001  a request is answered, whatever happens
         return {"error": str(e)}
 
@@ -187,7 +188,7 @@ def evaluate_cli(argv: list[str] | None = None, spark: SparkSession | None = Non
     spark = spark or session()
     dim = studios.rows_from_dictionary(scans.dictionary(spark, a.studios) or [] if a.studios else [])
     names = scans.names(spark, a.input, a.limit)
-    rows = parse.evaluation_rows(names, known=studios.Known.of(dim)).cache()
+    rows = parse.evaluation_rows(names, known=dim).cache()
     try:
         if a.reference:
             # Rows pair by place; a limit holds for both sides.
