@@ -200,6 +200,22 @@ def q14_date_iso(spark, sf_dir):
     return names.ship_names(spark, sf_dir).select("row_id", "line", dates.iso_date(F.col("name")).alias("iso"))
 
 
+#: A day in each of the shapes that a name may have it in, by the row's number; the last has the year alone.
+SHAPED_DAYS = ["yyyy.MM.dd", "yyyy_MM_dd", "d MMMM yyyy", "(MMMM d, yyyy)", "MMM d yyyy", "yyyyMMdd", "dMMMyyyy", "MM/dd/yyyy", "MM.dd.yyyy", "yyyy"]
+
+
+@query(
+    f"""SELECT l_orderkey AS row_id, l_linenumber AS line, CASE WHEN (l_orderkey + l_linenumber) % {len(SHAPED_DAYS)} = {len(SHAPED_DAYS) - 1}
+  THEN CAST(year(l_shipdate) AS STRING) ELSE {SQL_DAY} END AS iso FROM lineitem"""
+)
+def q14b_date_shapes(spark, sf_dir):
+    """The day itself is the yardstick: SQL never sees the text that the shapes are found in."""
+    df = names.table(spark, sf_dir, "lineitem").withColumn("at", (F.col("l_orderkey") + F.col("l_linenumber")) % len(SHAPED_DAYS))
+    day = F.array(*(F.date_format("l_shipdate", x) for x in SHAPED_DAYS))
+    name = F.concat(F.lit("Clip n"), F.col("l_linenumber").cast("string"), F.lit(" at "), F.get(day, F.col("at").cast("int")), F.lit(" end.mkv"))
+    return names.spread(df.select(F.col("l_orderkey").alias("row_id"), F.col("l_linenumber").alias("line"), name.alias("name"))).select("row_id", "line", dates.iso_date(F.col("name")).alias("iso"))
+
+
 @query(
     f"""SELECT l_orderkey AS row_id, l_linenumber AS line, 'text:Order n' || l_orderkey || ' at@0|date:' || {SQL_DAY} || '@' || (11 + length(CAST(l_orderkey AS STRING)))
   || '|text:Scene ' || l_linenumber || '@' || (CASE WHEN l_linenumber % 3 = 1 THEN 19 ELSE 21 END + length(CAST(l_orderkey AS STRING))) AS shown, '{{token0}} {{date}} {{token2}}' AS pattern FROM lineitem"""
@@ -243,6 +259,39 @@ _CODE = "CASE s_suppkey % 6 WHEN 0 THEN 'ACM' || lpad(CAST(s_suppkey % 10000 AS
 _OWN = "CASE WHEN s_suppkey % 12 = 4 THEN 'scary fuckers' END"
 
 
+SQL_PARSED_STUDIO = f"""WITH k AS (SELECT replace(key, '_', ' ') AS key, canonical, exact_only, ord FROM ({names.SQL_STUDIOS})), v AS (SELECT id, replace(value, '_', ' ') AS value FROM ({names.SQL_VALUES})),
+part_of AS (SELECT id, unnest(string_split(value, ' - ')) AS p, generate_subscripts(string_split(value, ' - '), 1) AS j FROM v),
+exact AS (SELECT id, arg_min(canonical, j) AS c FROM part_of JOIN k ON lower(trim(p)) = key GROUP BY id),
+half AS (SELECT id, j, unnest([trim(split_part(p, '-', 1)), trim(substr(p, instr(p, '-') + 1))]) AS h, unnest([0, 1]) AS o FROM part_of WHERE contains(p, '-')),
+dash AS (SELECT id, arg_min(canonical, j * 2 + o) AS c FROM half JOIN k ON lower(h) = key AND length(h) >= 2 GROUP BY id),
+inside AS (SELECT id, j, arg_max(canonical, length(key) * 1000 - ord) AS c FROM part_of JOIN k ON contains(lower(p), key) AND NOT exact_only AND length(key) >= 3 GROUP BY id, j),
+sub AS (SELECT id, arg_min(c, j) AS c FROM inside GROUP BY id)
+SELECT v.id, coalesce(e.c, d.c, s.c) AS studio FROM v LEFT JOIN exact e ON e.id = v.id LEFT JOIN dash d ON d.id = v.id LEFT JOIN sub s ON s.id = v.id"""
+
+
+def _studio_names(spark, sf_dir) -> DataFrame:
+    return names.studio_values(spark, sf_dir).select("id", F.concat(F.replace("value", F.lit("_"), F.lit(" ")), F.lit(".mp4")).alias("name"))
+
+
+def _spaced_keys(spark, sf_dir) -> DataFrame:
+    """The dimension with blanks in place of underscores, as cleaning a name puts them there."""
+    return names.studio_keys(spark, sf_dir).withColumn("key", F.replace("key", F.lit("_"), F.lit(" ")))
+
+
+@query(SQL_PARSED_STUDIO)
+def q53_parse_known(spark, sf_dir):
+    """The whole parse with a dimension, which is small and so a literal of the plan."""
+    return parse.parse_names(_studio_names(spark, sf_dir), known=_spaced_keys(spark, sf_dir)).select("id", "studio")
+
+
+@query(SQL_PARSED_STUDIO)
+def q53b_parse_known_joined(spark, sf_dir):
+    """The same stages with the dimension joined, as a large one is."""
+    df = dates.with_dates(tokens.with_tokens(clean.with_clean(_studio_names(spark, sf_dir), "name")))
+    df = studios.with_hits(df, studios.last_wins(_spaced_keys(spark, sf_dir)))
+    return studios.with_studio_by(df, studios.Hits("__hits")).select("id", "studio")
+
+
 @query(
     f"""WITH c AS (SELECT s_suppkey, {_CODE} AS v, {_OWN} AS own FROM supplier)
 SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN coalesce(nullif(ltrim(v[4:7], '0'), ''), '0') WHEN 1 THEN coalesce(nullif(ltrim(v[4:7], '0'), ''), '0') WHEN 2 THEN v[1:5]
@@ -290,6 +339,15 @@ def q22_unlabeled_stats(spark, sf_dir):
     return evaluate.anomalies(_parsed_parts(spark, sf_dir))
 
 
+@query(
+    """SELECT count(*) FILTER (n > 0) AS rows_with_unlabeled_tokens, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_unlabeled_tokens
+FROM (SELECT len(list_distinct(list_filter(string_split(p_type || ' ' || p_name, ' '), lambda x: length(x) > 5 AND contains(lower(x), 'e')))) AS n FROM part)"""
+)
+def q22b_unlabeled_counts(spark, sf_dir):
+    words = F.filter(F.split(F.concat("p_type", F.lit(" "), "p_name"), " "), lambda x: (F.length(x) > 5) & F.contains(F.lower(x), F.lit("e")))
+    return evaluate.anomalies(names.table(spark, sf_dir, "part").select(words.alias("unlabeled")))
+
+
 # --- stage 6 ----------------------------------------------------------------------------------------------------
 
 
@@ -414,6 +472,29 @@ def q33_date_compare(spark, sf_dir):
     return _compared("date")(spark, sf_dir)
 
 
+#: Texts of a day in the formats that a comparison reads, padded and not, and others; the same in both languages.
+DATE_TEXTS = [
+    "{y}-{m}-{d}", "{y}/{m}/{d}", "{m}/{d}/{y}", "{d}-{m}-{y}", "{d}.{m}.{y}", "{y}-{m}-{d} 04:05:06", "{y}-{m}-{d}T04:05:06", "{y}", "{m}-{y}", "{y}.{m}.{d}", "{y}-{m}", " {y}-{m}-{d} ", "{y}-13-{d}", "{m}/{y}", "x {y}-{m}-{d}",
+]
+_PARTS = {False: {"y": "CAST(year(o_orderdate) AS STRING)", "m": "CAST(month(o_orderdate) AS STRING)", "d": "CAST(day(o_orderdate) AS STRING)"}}
+_PARTS[True] = {k: v if k == "y" else f"lpad({v}, 2, '0')" for k, v in _PARTS[False].items()}
+
+
+def _date_text(form: str, padded: bool) -> str:
+    return "'" + form.format(**{k: f"' || {v} || '" for k, v in _PARTS[padded].items()}) + "'"
+
+
+_CASES = [_date_text(f, p) for f in DATE_TEXTS for p in (True, False)]
+SQL_DATE_TEXT = f"CASE o_orderkey % {len(_CASES)} " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CASES)) + " END"
+SQL_STRPTIME = "coalesce(" + ", ".join(f"try_strptime(trim(t), '{f}')" for f in ("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y", "%m-%Y")) + ")"
+
+
+@query(f"SELECT id, t, strftime({SQL_STRPTIME}, '%Y-%m-%d %H:%M:%S') AS read FROM (SELECT o_orderkey AS id, {SQL_DATE_TEXT} AS t FROM orders)")
+def q33b_date_formats(spark, sf_dir):
+    df = names.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{SQL_DATE_TEXT} AS t")
+    return df.select("id", "t", F.date_format(compare.parse_date(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("read"))
+
+
 def _status_sql(f: str) -> str:
     return f"SELECT id, status FROM ({_compare_sql(f)})"
 
@@ -649,7 +730,9 @@ def q52_cost_estimate(spark, sf_dir):
     return add(names.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")), e=update.estimate(F.col("n"))).select("n", "e.batches", "e.seconds")
 
 
-@query()
+@query(
+    """SELECT date_trunc('hour', ts) AS start, CASE WHEN user_id BETWEEN 100 AND 99999 THEN '[{title}] {studio_code} - {date} {token3}' ELSE '[{token0}] {title} - {date} {token3}' END AS pattern, CAST(CAST(ts AS DATE) AS STRING) AS date, count(*) AS n FROM events GROUP BY ALL"""
+)
 def s01_stream_parse(spark, sf_dir):
     from ..streaming import names as stream
 

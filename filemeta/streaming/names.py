@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import parse
+from ..sources import sinks
 
+#: How much later than the latest event one may come.
+LATE = "10 minutes"
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -23,16 +26,23 @@ def parse_stream(names: DataFrame, **options) -> DataFrame:
     return parse.parse_names(names, **options)
 
 
-def counts(parsed: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
-    """Names by window, pattern and date; state is dropped once the watermark has passed a window."""
+def counts(parsed: DataFrame, late: str = LATE, window: str = "1 hour") -> DataFrame:
+    """Names by window, pattern and date; written in append mode, a window comes out, and its state goes, once the
+    watermark has passed it."""
     found = parsed.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "pattern", parse.first_date().alias("date"))
     return found.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "pattern", "date", "n")
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, to its end; the counts from memory, which a test or a report reads."""
+    """The events table as a stream, to its end: closed windows from the files that the stream wrote, and those that
+    the last watermark leaves open counted from the events that are in them."""
+    folder = f"{sinks.scratch(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    table = f"names_{uuid.uuid4().hex}"
-    running = counts(parse_stream(event_names(source))).writeStream.format("memory").queryName(table).outputMode("complete").trigger(availableNow=True).start()
+    made = counts(parse_stream(event_names(source)))
+    running = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(table)
+    marks = [t for p in running.recentProgress if (t := p["eventTime"].get("watermark"))]
+    closed = spark.read.schema(made.schema).parquet(f"{folder}/out")
+    end = F.to_timestamp(F.lit(max(marks, default="1970-01-01T00:00:00.000Z")))
+    late = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").where(F.window("ts", "1 hour").end > end)
+    return closed.unionByName(counts(parse_stream(event_names(late))))
