@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import checks, codes, evaluate, records, studios
+from ..operators import checks, codes, dates, evaluate, records, studios
 from ..sources import catalog, sinks
 from ..sources import text as scans
 from . import parse
@@ -76,11 +76,6 @@ def run(request: dict, spark: SparkSession | None = None, log=lambda *_: None) -
             return {"output": [r.asDict() for r in records.file_names(scenes, bool(config["report"]["with_path"])).orderBy("id").collect()]}
         found = report(spark, scenes, dimension, bool(config["report"]["with_path"])).orderBy("id")
         path = sinks.report_path(config["report"]["path"] or None, config["report"]["folder"] or None, args.get("plugin_dir"))
-        if path.suffix == ".xlsx":
-            try:
-                import openpyxl  # noqa: F401
-            except ImportError:
-                path = path.with_suffix(".parquet")
         found, seen = records.observed(found)
         if path.suffix == ".xlsx":
             sinks.write_workbook(str(path), [sinks.Sheet("Report", found, bold="bold_mask")])
@@ -153,6 +148,7 @@ def check_dictionaries(spark: SparkSession, studio_rows: list[dict], rules: list
     named = spark.createDataFrame([(str(r.get("code_patterns")), r.get("studio")) for r in rules], "rule string, studio string")
     rows = lambda df: [r.asDict() for r in df.collect()]
     return {
+        "schema": checks.schema_errors(studio_rows, checks.STUDIO_SCHEMA, "studios"),
         "duplicate_names": rows(checks.duplicate_names(known)),
         "alias_collisions": rows(checks.alias_collisions(given.unionByName(mapped))),
         "unknown_alias_targets": rows(checks.unknown_targets(mapped, known, "canonical", "canonical_name")),
@@ -166,10 +162,14 @@ def check_cli(argv: list[str] | None = None, spark: SparkSession | None = None)
     p.add_argument("studios")
     p.add_argument("--rules")
     p.add_argument("--aliases")
+    p.add_argument("--dictionary", help="a further dictionary, checked against --schema")
+    p.add_argument("--schema", help="JSON schema of --dictionary")
     a = p.parse_args(argv)
     spark = spark or session()
     load = lambda path, default: (scans.dictionary(spark, path, cache=False) if path else None) or default
     found = check_dictionaries(spark, load(a.studios, []), load(a.rules, []), load(a.aliases, {}))
+    if a.dictionary and a.schema:
+        found["dictionary"] = checks.schema_errors(load(a.dictionary, None), load(a.schema, {}), "dictionary")
     for name, rows in found.items():
         print(f"{name}: {'ok' if not rows else json.dumps(rows, default=str)}")
     return int(any(found.values()))
@@ -178,17 +178,19 @@ def check_cli(argv: list[str] | None = None, spark: SparkSession | None = None)
 def evaluate_cli(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(description="evaluate the parser on a list of names")
     p.add_argument("input")
-    p.add_argument("--reference", help="labelled rows in CSV")
+    p.add_argument("--reference", help="labelled rows in CSV, or the sheet Reference of a workbook")
     p.add_argument("--limit", type=int)
     p.add_argument("--samples", type=int, default=10)
     p.add_argument("--studios", help="JSON dictionary of studios")
+    p.add_argument("--dates", help="JSON dictionary of date shapes")
     p.add_argument("--output", help="JSON file for the metrics")
-    p.add_argument("--workbook", help="file for the rows; needs openpyxl")
+    p.add_argument("--workbook", help="file for the rows")
     a = p.parse_args(argv)
     spark = spark or session()
     dim = studios.rows_from_dictionary(scans.dictionary(spark, a.studios) or [] if a.studios else [])
-    names = scans.names(spark, a.input, a.limit)
-    rows = parse.evaluation_rows(names, known=dim).cache()
+    names = scans.workbook_names(spark, a.input, limit=a.limit) if a.input.lower().endswith(".xlsx") else scans.names(spark, a.input, a.limit)
+    shapes = dates.compile_shapes(scans.dictionary(spark, a.dates)) if a.dates else None
+    rows = parse.evaluation_rows(names, known=dim, shapes=shapes).cache()
     try:
         if a.reference:
             # Rows pair by place; a limit holds for both sides.

@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import workbook
+
 #: Rows that a sheet can have.
 SHEET_ROWS = 1_048_575
 WIDEST = 50
@@ -29,7 +31,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
 
 
 def write_metrics(metrics: dict, path: str) -> None:
@@ -67,36 +69,16 @@ def widths(header: list[str], cells: list[list]) -> list[int]:
 
 
 def write_workbook(path: str, sheets: list[Sheet]) -> str:
-    """Needs openpyxl on the driver."""
+    """A sheet each, with bold and highlighted cells, fitted columns and a table over the rows."""
     if not sheets:
         raise ValueError("no sheets")
-    import openpyxl  # optional
-    from openpyxl.styles import Font, PatternFill
-    from openpyxl.utils import get_column_letter
-    from openpyxl.worksheet.table import Table, TableStyleInfo
-
-    book = openpyxl.Workbook()
-    book.remove(book.active)
-    for n, s in enumerate(sheets):
+    grids = []
+    for s in sheets:
         header, cells, bold = sheet_rows(s)
-        ws = book.create_sheet(s.name[:31])
-        ws.append(header)
-        for r, flags in zip(cells, bold):
-            ws.append(["" if v is None else v if isinstance(v, (int, float, str)) else str(v) for v in r])
-            for i, v in enumerate(r):
-                cell = ws.cell(ws.max_row, i + 1)
-                if i < len(flags) and flags[i]:
-                    cell.font = Font(bold=True)
-                if s.highlight and s.highlight(v):
-                    cell.fill = PatternFill("solid", "FFFF00")
-        for i, w in enumerate(widths(header, cells)):
-            ws.column_dimensions[get_column_letter(i + 1)].width = w
-        if cells:
-            table = Table(displayName=f"Table{n + 1}", ref=f"A1:{get_column_letter(len(header))}{len(cells) + 1}")
-            table.tableStyleInfo = TableStyleInfo(name="TableStyleMedium2", showRowStripes=True)
-            ws.add_table(table)
+        marked = [[bool(s.highlight(v)) for v in r] for r in cells] if s.highlight else []
+        grids.append(workbook.Grid(s.name, header, cells, bold, marked, widths(header, cells)))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    book.save(path)
+    workbook.write(path, grids)
     return path
 
 
