@@ -16,6 +16,8 @@ that comes first in order; an empty table gives an empty table; without any labe
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,8 +85,9 @@ class Model:
         return self.langs[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def _snippets(text: str, rng: np.random.Generator) -> list[str]:
-    words = text.split()
+def _snippets(text: str) -> list[str]:
+    """A few words of the text, at places that its CRC gives."""
+    words, rng = text.split(), np.random.default_rng(zlib.crc32(text.encode()))
     out = []
     for n in (2, 5, 20):
         at = int(rng.integers(0, max(1, len(words) - n + 1)))
@@ -92,21 +95,35 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 30.0, batch: int = 64, seed: int = 7) -> Model:
-    """Fit embeddings and layer, then temperature and threshold on every fifth text."""
-    keep = [(t, y) for t, y in zip(texts, labels) if has_letter(t)]
+def examples(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, their shares of all windows) of a text and of its snippets; none of what has no letter. Their size does
+    not grow with the text beyond the number of buckets."""
+    if not has_letter(text):
+        return []
+    out = []
+    for x in (text, *_snippets(text)):
+        if has_letter(x):
+            c = counts(x)
+            at = np.flatnonzero(c)
+            out.append((at.astype("<i4"), (c[at] / c.sum()).astype("<f4")))
+    return out
+
+
+def train(texts: list[str | None], labels: list[str], **options) -> Model:
+    return train_on([examples(t) for t in texts], labels, **options)
+
+
+def train_on(found: list[list], labels: list[str], epochs: int = 6, rate: float = 30.0, batch: int = 64, seed: int = 7) -> Model:
+    """Fit embeddings and layer to examples() of texts, then temperature and threshold on every fifth text."""
+    keep = [(x, y) for x, y in zip(found, labels) if x]
     langs = sorted({y for _, y in keep})
     if len(langs) < 2:
         return Model(langs, np.zeros((BUCKETS, len(langs))), np.zeros(len(langs)))
     rng = np.random.default_rng(seed)
     number = {y: i for i, y in enumerate(langs)}
-    apart = [p for i, p in enumerate(keep) if i % 5 == 4] or keep
-    rows = [(x, y) for i, (t, y) in enumerate(keep) if i % 5 != 4 or len(keep) < 5 for x in (t, *_snippets(t, rng)) if has_letter(x)]
-    packed = []
-    for t, _ in rows:
-        c = counts(t)
-        at = np.flatnonzero(c)
-        packed.append((at.astype(np.int32), (c[at] / c.sum()).astype(np.float32)))
+    apart = [(e, y) for x, y in ([p for i, p in enumerate(keep) if i % 5 == 4] or keep) for e in x]
+    rows = [(e, y) for i, (x, y) in enumerate(keep) if i % 5 != 4 or len(keep) < 5 for e in x]
+    packed = [e for e, _ in rows]
     y = np.array([number[l] for _, l in rows])
     embed = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIMS, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
@@ -131,8 +148,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 30
             embed -= step * (x.T @ back)
             done += 1
     model = Model(langs, embed.astype(np.float64) @ layer, bias.astype(np.float64))
-    apart = [(x, l) for t, l in apart for x in (t, *_snippets(t, rng)) if has_letter(x)]
-    z = np.array([model.logits(counts(t).astype(np.float64)) for t, _ in apart])
+    z = np.array([share.astype(np.float64) @ model.scores[at] + model.bias for (at, share), _ in apart])
     truth = np.array([number[l] for _, l in apart])
     best = (np.inf, 1.0)
     for heat in np.geomspace(0.02, 10, 61):
@@ -146,22 +162,52 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 30
     return model
 
 
-def sample(docs: DataFrame, label: str, most: int) -> list:
-    """Rows (doc_id, text, label), about most of them and never over twice as many, with the same expected number of
-    each label, drawn by a hash of the id; labels are counted over all rows that may be learnt from."""
+def sample(docs: DataFrame, label: str, most: int) -> DataFrame:
+    """Rows (doc_id, text, label), about most of them, with the same expected number of each label, drawn by a hash of
+    the id; labels are counted over all rows that may be learnt from."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("text").isNotNull())
     n = {r[0]: r[1] for r in usable.groupBy(label).count().collect()}
     if not n:
-        return []
+        return usable.select("doc_id", "text", label)
     share = F.create_map(*(x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, most / len(n) / v)))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.where(drawn < F.element_at(share, F.col(label))).select("doc_id", "text", label).limit(2 * most).collect()
-    return sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))
+    return usable.where(drawn < F.element_at(share, F.col(label))).select("doc_id", "text", label)
+
+
+def learnt(rows: DataFrame, label: str, work, most: int) -> list:
+    """(label, features) of rows(doc_id, text, label), most of them at most, in order of id and text. work(text) gives
+    the features in bytes, of bounded size; so the driver gets no text, and no more than most times that size."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("label", rows.schema[label].dataType), T.StructField("features", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                found = pa.array([work(s.as_py()) for s in b.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("label"), found], names=schema.names)
+
+    marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col(label).alias("label"), "text")
+    got = marked.mapInArrow(run, schema).limit(most).collect()
+    return [(r.label, bytes(r.features)) for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.mark, r.label))]
+
+
+def _written(text: str | None) -> bytes:
+    return b"".join(struct.pack("<I", len(at)) + at.tobytes() + share.tobytes() for at, share in examples(text))
+
+
+def _read(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    out, at = [], 0
+    while at < len(data):
+        n = struct.unpack_from("<I", data, at)[0]
+        out.append((np.frombuffer(data, "<i4", n, at + 4), np.frombuffer(data, "<f4", n, at + 4 + 4 * n)))
+        at += 4 + 8 * n
+    return out
 
 
 def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    rows = sample(docs.select("doc_id", "text", "lang"), "lang", most)
-    return train([r.text for r in rows], [r.lang for r in rows])
+    """Fit to a sample of most rows or so, never over twice as many."""
+    rows = learnt(sample(docs.select("doc_id", "text", "lang"), "lang", most), "lang", _written, 2 * most)
+    return train_on([_read(x) for _, x in rows], [y for y, _ in rows])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -16,6 +16,7 @@ table gives an empty table; columns named like the outputs are replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .langid import held_out
+from .langid import held_out, learnt
 
 #: Buckets of byte windows, and of both kinds: class windows come behind them.
 BYTES, BUCKETS = 1 << 16, 1 << 17
@@ -133,12 +134,15 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(max(slope, 0.0)), float(shift)
 
 
-def train(texts: list[str], labels: list[int], share: dict[int, float] | None = None, cost: float = 1.0) -> Model:
-    """labels: 1 good, 0 bad; share: the part of each class that was sampled."""
+def train(texts: list[str | None], labels: list[int], share: dict[int, float] | None = None, cost: float = 1.0) -> Model:
+    return train_on([indicators(t) for t in texts], labels, share, cost)
+
+
+def train_on(rows: list[np.ndarray], labels: list[int], share: dict[int, float] | None = None, cost: float = 1.0) -> Model:
+    """rows: indicators of texts; labels: 1 good, 0 bad; share: the part of each class that was sampled."""
     if not labels or len(set(labels)) == 1:
         return _flat(0.5 if not labels else 0.999 if labels[0] else 0.001)
     y = np.where(np.array(labels) > 0, 1, -1)
-    rows = [indicators(t) for t in texts]
     model, margin = _weights(rows, y, cost), np.zeros(len(y))
     # Margins of rows that a model has not seen, where each class has rows for all folds; else the model's own.
     if min((y > 0).sum(), (y < 0).sum()) >= 2 * FOLDS:
@@ -174,10 +178,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     table = F.create_map(*(x for k, v in share.items() for x in (F.lit(k), F.lit(v))))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     ids = usable.where(drawn < F.element_at(table, F.col("quality"))).limit(2 * most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(4 * most).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.quality, r.text or ""))
+    rows = learnt(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "quality", _written, 4 * most)
     good = {1: 1.0, 0: 1.0} | {int(k > 0): v for k, v in share.items()}
-    return train([r.text for r in rows], [int(r.quality > 0) for r in rows], good)
+    return train_on([_read(x) for _, x in rows], [int(y > 0) for y, _ in rows], good)
+
+
+def _written(text: str | None) -> bytes:
+    seen = np.zeros(BUCKETS, bool)
+    seen[indicators(text)] = True
+    return zlib.compress(np.packbits(seen).tobytes(), 1)
+
+
+def _read(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
