@@ -105,7 +105,7 @@ def examples(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
         if has_letter(x):
             c = counts(x)
             at = np.flatnonzero(c)
-            out.append((at.astype("<i4"), (c[at] / c.sum()).astype("<f4")))
+            out.append((at.astype("<u2"), (c[at] / c.sum()).astype("<f4")))
     return out
 
 
@@ -187,8 +187,10 @@ def learnt(rows: DataFrame, label: str, work, most: int) -> list:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("label"), found], names=schema.names)
 
     marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col(label).alias("label"), "text")
-    got = marked.mapInArrow(run, schema).limit(most).collect()
-    return [(r.label, bytes(r.features)) for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.mark, r.label))]
+    got = marked.mapInArrow(run, schema).limit(most).toArrow()
+    keys = zip(*(got.column(c).to_pylist() for c in ("doc_id", "mark", "label")))
+    order = sorted((doc is not None, doc or 0, mark, y, i) for i, (doc, mark, y) in enumerate(keys))
+    return [(y, got.column("features")[i].as_py()) for *_, y, i in order]
 
 
 def _written(text: str | None) -> bytes:
@@ -199,8 +201,8 @@ def _read(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     out, at = [], 0
     while at < len(data):
         n = struct.unpack_from("<I", data, at)[0]
-        out.append((np.frombuffer(data, "<i4", n, at + 4), np.frombuffer(data, "<f4", n, at + 4 + 4 * n)))
-        at += 4 + 8 * n
+        out.append((np.frombuffer(data, "<u2", n, at + 4), np.frombuffer(data, "<f4", n, at + 4 + 2 * n)))
+        at += 4 + 6 * n
     return out
 
 

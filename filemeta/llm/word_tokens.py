@@ -1,14 +1,16 @@
 """Token ids of whole texts by the tokenizers library, each distinct word once.
 
-A tokenizer file whose normalizer and pre-tokenizer never look across white space gives a text the ids of its
-chunks (runs between ASCII white space) in a row. Arrow kernels find the distinct chunks of a block of texts, cut
-ASCII punctuation from behind a letter (the file's pattern splits there) and lower ASCII letters (its normalizer
-does); the library gets each distinct part once, and numpy puts the ids of all texts together. A worker keeps parts
-it has seen up to a bound.
+A tokenizer file with the normalizer and pre-tokenizer below, which never look across white space, gives a text the
+ids of its chunks (runs between ASCII white space) in a row. Arrow kernels find the distinct chunks of a block of
+texts, cut ASCII punctuation from behind a letter (the file's pattern splits there) and lower ASCII letters (its
+normalizer does); the library gets each distinct part once, and numpy puts the ids of all texts together. A worker
+keeps parts it has seen up to a bound. A text that holds the string of an added token (as <|endoftext|>), and any
+text where the file is another, goes to the library whole, so every text has the ids of the library's plain call.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from struct import pack
 
@@ -24,8 +26,15 @@ BLOCK, ROWS = 8 << 20, 2000
 TOGETHER = 2000
 #: ASCII punctuation that may be cut off behind a letter: no apostrophe, which begins contractions.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Words on which a file is tried before its model is asked directly.
-TRIED = 200
+# The normalizer and pre-tokenizer of files that are cut in chunks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _LOADED: dict[str, "WordTokens"] = {}
 
 
@@ -50,9 +59,14 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True  # in parts, as lowering can make an added token's string of another
         self.cache: dict[str, bytes] = {}
-        self.model, self.direct = self.library.model, None
+        self.model = self.library.model
+        spec = json.loads(self.library.to_str())
+        self.by_chunk = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and spec["model"]["type"] == "BPE"
+        added = spec["added_tokens"] or []
+        self.by_chunk &= not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        self.added = [t["content"] for t in added]
 
     def _ask(self, word: str) -> bytes:
         """The library's model on a word of Latin-1 letters, which normalizing leaves but for case."""
@@ -70,19 +84,14 @@ class WordTokens:
         return self.library.get_vocab_size(with_added_tokens=True)
 
     def _learn(self, new: list[str]) -> None:
-        """Cache what the library gives for parts. Words of Latin-1 letters go straight to its model, if that gave
-        the whole library's ids for the first words seen; other words of letters go through the library many at a time, told apart
-        by their pre-token numbers; should a word have come to several pre-tokens, each goes alone."""
+        """Cache what the library gives for parts. Words of Latin-1 letters, which the normalizer leaves but for case
+        and the pre-tokenizer whole, go straight to its model; other words of letters go through the library many at a
+        time, told apart by their pre-token numbers; should a word have come to several pre-tokens, each goes alone."""
         plain = [c for c in new if c.isalpha()]
         rest = [c for c in new if not c.isalpha()]
         simple = [c for c in plain if max(c) <= "\xff" and (not c.isascii() or c.islower())]
-        if self.direct is None and simple:
-            some = simple[:TRIED]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            self.direct = all(self._ask(c) == np.array(e.ids, "<u4").tobytes() for c, e in zip(some, found))
-        if self.direct:
-            self.cache.update([(c, self._ask(c)) for c in simple])
-            plain = [c for c in plain if c not in self.cache]
+        self.cache.update([(c, self._ask(c)) for c in simple])
+        plain = [c for c in plain if c not in self.cache]
         for at in range(0, len(plain), TOGETHER):
             some = plain[at : at + TOGETHER]
             found = self.library.encode(" ".join(some), add_special_tokens=False)
@@ -101,6 +110,18 @@ class WordTokens:
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers (null: none)."""
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = np.full(len(column), not self.by_chunk)
+        for token in self.added if self.by_chunk else []:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if whole.any():
+            self.library.encode_special_tokens = False
+            found = {i: np.array(self.library.encode(column[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes() for i in np.flatnonzero(whole).tolist()}
+            self.library.encode_special_tokens = True
+            out = self._chunked(pc.if_else(pa.array(whole), "", column)) if self.by_chunk else [b""] * len(column)
+            return [found.get(i, x) for i, x in enumerate(out)]
+        return self._chunked(column)
+
+    def _chunked(self, column: pa.Array) -> list[bytes]:
         ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
         out: list[bytes] = []
         while len(out) < len(column):

@@ -19,8 +19,8 @@ from tests.oracle import differences
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORDS, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
-ODD = ["", None, " ", "a", "é", "a" * 5000, "x y " * 3000, "\n\n", "😀\x00\x1c b", "don't STOP!!! ok. ok.", "ŠÇ İ ſ Σς ﬁ", "a  b\t\tc\r\n", "  "]
-ALPHABET = st.sampled_from(["a", "B", "th", "e", " ", "\n", "1", "'s", "'LL", "é", "́", "漢", "😀", "\x85", "\xa0", "\x1c", ".", ",", "$$", "ing", "İ", "Σ", " "])
+ODD = ["", None, " ", "a", "é", "a" * 5000, "x y " * 3000, "\n\n", "😀\x00\x1c b", "don't STOP!!! ok. ok.", "ŠÇ İ ſ Σς ﬁ", "a  b\t\tc\r\n", "  ", "a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>"]
+ALPHABET = st.sampled_from(["a", "B", "th", "e", " ", "\n", "1", "'s", "'LL", "é", "́", "漢", "😀", "\x85", "\xa0", "\x1c", ".", ",", "$$", "ing", "İ", "Σ", " ", "<|endoftext|>", "<|STARTOFTEXT|>"])
 TEXT = st.lists(ALPHABET, max_size=60).map("".join)
 
 
@@ -42,9 +42,7 @@ def folder(spark, tmp_path, texts, labels=None):
 def _library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 LIBRARY = _library()
