@@ -94,17 +94,16 @@ def _flat(p: float) -> Model:
 def hinge(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = 30, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise half the squared weights plus cost times the hinge loss, by dual coordinate
     descent; the bias is the weight of a constant feature."""
-    values = []
-    for at in rows:
-        f = ratio[at]
-        values.append(f / max(1e-12, float(np.sqrt(f @ f))))
+    # A row's values are its ratios by its length; only the length is kept.
+    scale = np.array([1 / max(1e-12, float(np.sqrt(ratio[at] @ ratio[at]))) for at in rows])
+    norm = np.array([float(ratio[at] @ ratio[at]) * s * s + 1.0 for at, s in zip(rows, scale)])
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    norm = np.array([float(v @ v) + 1.0 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            at, v = rows[i], values[i]
+            at = rows[i]
+            v = ratio[at] * scale[i]
             g = y[i] * (float(v @ w[at]) + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
@@ -162,7 +161,9 @@ def train_on(rows: list[np.ndarray], labels: list[int], share: dict[int, float]
 
 def _weights(rows: list[np.ndarray], y: np.ndarray, cost: float) -> Model:
     """Log-count ratios and the linear model on them, the classes' costs balanced."""
-    count = {s: np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == s]), minlength=BUCKETS) + SMOOTH for s in (1, -1)}
+    count = {s: np.full(BUCKETS, SMOOTH) for s in (1, -1)}
+    for r, v in zip(rows, y):
+        count[int(v)][r] += 1  # a row has a bucket once
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[-1] / count[-1].sum())
     balance = np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y < 0).mean())
     return Model(ratio, *hinge(rows, y, ratio, cost * balance), 1.0, 0.0)
@@ -190,7 +191,7 @@ def _written(text: str | None) -> bytes:
 
 
 def _read(data: bytes) -> np.ndarray:
-    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8)))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8))).astype(np.int32)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
