@@ -96,7 +96,7 @@ def _snippets(text: str) -> list[str]:
 
 
 def examples(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, their shares of all windows) of a text and of its snippets; none of what has no letter. Their size does
+    """(buckets, windows in each) of a text and of its snippets; none of what has no letter. Their size does
     not grow with the text beyond the number of buckets."""
     if not has_letter(text):
         return []
@@ -105,7 +105,7 @@ def examples(text: str | None) -> list[tuple[np.ndarray, np.ndarray]]:
         if has_letter(x):
             c = counts(x)
             at = np.flatnonzero(c)
-            out.append((at.astype("<u2"), (c[at] / c.sum()).astype("<f4")))
+            out.append((at.astype("<u2"), c[at].astype("<u4")))
     return out
 
 
@@ -123,7 +123,7 @@ def train_on(found: list[list], labels: list[str], epochs: int = 6, rate: float
     number = {y: i for i, y in enumerate(langs)}
     apart = [(e, y) for x, y in ([p for i, p in enumerate(keep) if i % 5 == 4] or keep) for e in x]
     rows = [(e, y) for i, (x, y) in enumerate(keep) if i % 5 != 4 or len(keep) < 5 for e in x]
-    packed = [e for e, _ in rows]
+    packed = [(at, (n / n.sum()).astype(np.float32)) for (at, n), _ in rows]
     y = np.array([number[l] for _, l in rows])
     embed = rng.normal(0, 0.1, (BUCKETS, DIMS)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIMS, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
@@ -148,7 +148,7 @@ def train_on(found: list[list], labels: list[str], epochs: int = 6, rate: float
             embed -= step * (x.T @ back)
             done += 1
     model = Model(langs, embed.astype(np.float64) @ layer, bias.astype(np.float64))
-    z = np.array([share.astype(np.float64) @ model.scores[at] + model.bias for (at, share), _ in apart])
+    z = np.array([n @ model.scores[at] / n.sum() + model.bias for (at, n), _ in apart])
     truth = np.array([number[l] for _, l in apart])
     best = (np.inf, 1.0)
     for heat in np.geomspace(0.02, 10, 61):
@@ -187,21 +187,19 @@ def learnt(rows: DataFrame, label: str, work, most: int) -> list:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("label"), found], names=schema.names)
 
     marked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col(label).alias("label"), "text")
-    got = marked.mapInArrow(run, schema).limit(most).toArrow()
-    keys = zip(*(got.column(c).to_pylist() for c in ("doc_id", "mark", "label")))
-    order = sorted((doc is not None, doc or 0, mark, y, i) for i, (doc, mark, y) in enumerate(keys))
-    return [(y, got.column("features")[i].as_py()) for *_, y, i in order]
+    got = marked.mapInArrow(run, schema).limit(most).collect()
+    return [(r.label, bytes(r.features)) for r in sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.mark, r.label))]
 
 
 def _written(text: str | None) -> bytes:
-    return b"".join(struct.pack("<I", len(at)) + at.tobytes() + share.tobytes() for at, share in examples(text))
+    return zlib.compress(b"".join(struct.pack("<I", len(at)) + np.diff(at, prepend=at.dtype.type(0)).tobytes() + n.tobytes() for at, n in examples(text)), 1)
 
 
 def _read(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
-    out, at = [], 0
+    out, at, data = [], 0, zlib.decompress(data)
     while at < len(data):
         n = struct.unpack_from("<I", data, at)[0]
-        out.append((np.frombuffer(data, "<u2", n, at + 4), np.frombuffer(data, "<f4", n, at + 4 + 2 * n)))
+        out.append((np.cumsum(np.frombuffer(data, "<u2", n, at + 4), dtype="<u2"), np.frombuffer(data, "<u4", n, at + 4 + 2 * n)))
         at += 4 + 6 * n
     return out
 

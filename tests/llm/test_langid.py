@@ -53,8 +53,8 @@ def test_one_step_is_the_gradient_of_the_loss():
     embed = rng.normal(0, 0.1, (langid.BUCKETS, langid.DIMS)).astype(np.float32).astype(float)
     layer = rng.normal(0, 0.1, (langid.DIMS, 2)).astype(np.float32).astype(float)
     x = np.zeros((len(rows), langid.BUCKETS))
-    for r, ((at, share), _) in enumerate(rows):
-        x[r, at] = share
+    for r, ((at, n), _) in enumerate(rows):
+        x[r, at] = n / n.sum()
     truth = np.array([["de", "en"].index(y) for _, y in rows])
 
     def loss(e, w, b):
