@@ -196,7 +196,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _merged(spark, comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps(rep, comp) after links(u, v) between components."""
-    cc = common.stored(spark, connected_components(spark, links).select(F.col("node").alias("comp"), "component"), "cc")
+    cc = connected_components(spark, links).select(F.col("node").alias("comp"), "component")
     return common.stored(spark, comps.join(cc, "comp", "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comps")
 
 

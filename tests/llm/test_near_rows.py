@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from filemeta.llm import common, near_dedup
+from filemeta.llm import common, components, near_dedup
 
 A, B, C = ("one two three four five six seven eight", "an other text that is like none of these at all", "a third text which shares an id with some one else here")
 
@@ -80,3 +80,15 @@ def test_full_sets_go_only_to_members_that_a_signature_leaves(spark):
         links = near_dedup.compare_blocks(rest, known, 80, 3).collect()
     assert [sorted(x) for x in links] == [[7, 300]]
     assert {r.rep for r in spark.read.parquet(written[0]).collect()} == {7, 300}
+
+
+def test_few_links_are_joined_without_rounds(spark, monkeypatch):
+    """One written table for a long chain, a star and repeated and self links; as the rounds of stars find them."""
+    links = [(k + 1, k) for k in range(90, 60, -1)] + [(200 - k, 200) for k in range(20)] + [(5, 5), (-7, 300), (300, -7), (61, 12)]
+    df, found = spark.createDataFrame(links, "u long, v long"), []
+    for few in (components.FEW, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        with common.noted() as written:
+            found.append(sorted(tuple(r) for r in components.connected_components(spark, df).collect()))
+        assert (len(written) == 1) == (few > 0)
+    assert found[0] == found[1] and (91, 12) in found[0] and (300, -7) in found[0] and len(found[0]) == 32 + 20 + 2
